@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from timeloom.functions.text import blank_to_null, json_string, strip
+from timeloom.functions.text import blank_to_null, json_member, strip
 from timeloom.schema import DETAILS, LISTS, MAPS, SCALARS
 
 # The separator detection timelines put between values of one cell.
@@ -150,25 +150,28 @@ def all_strings(details: Column) -> Column:
 
 
 def to_json_text(details: Column) -> Column:
-    """The details as one JSON object; an integer event id is written as a number."""
+    """The details as one JSON object; an integer event id is written as a number.
+
+    Control characters are left to the pass over the whole document.
+    """
 
     def members(entries: Column, render) -> Column:
         return F.transform(
             F.map_entries(entries),
             lambda entry: F.concat(
-                json_string(entry["key"]), F.lit(":"), render(entry["key"], entry["value"])
+                json_member(entry["key"]), F.lit(":"), render(entry["key"], entry["value"])
             ),
         )
 
     def render_scalar(key: Column, value: Column) -> Column:
         is_number = (key == "win_event_id") & value.rlike(r"^-?\d+$")
-        return F.when(is_number, value).otherwise(json_string(value))
+        return F.when(is_number, value).otherwise(json_member(value))
 
     def render_list(_, items: Column) -> Column:
-        return F.concat(F.lit("["), F.array_join(F.transform(items, json_string), ","), F.lit("]"))
+        return F.concat(F.lit("["), F.array_join(F.transform(items, json_member), ","), F.lit("]"))
 
     def render_map(_, entries: Column) -> Column:
-        inner = members(entries, lambda _key, value: json_string(value))
+        inner = members(entries, lambda _key, value: json_member(value))
         return F.concat(F.lit("{"), F.array_join(inner, ","), F.lit("}"))
 
     everything = F.concat(

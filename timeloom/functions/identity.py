@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from timeloom.functions.text import json_string
+from timeloom.functions.text import escape_controls, json_member
 
 # The fields that make up an event's identity, in encoding order.
 IDENTITY_FIELDS = (
@@ -24,12 +24,12 @@ SHORT_ID_LENGTH = 12
 
 def event_id(namespace: str, fields: dict[str, Column]) -> Column:
     """SHA-256 over the compact JSON of the namespace and the identity fields."""
-    parts = [F.lit("["), json_string(F.lit(namespace)), F.lit(",{")]
+    parts = [F.lit("["), json_member(F.lit(namespace)), F.lit(",{")]
     for position, name in enumerate(IDENTITY_FIELDS):
         lead = "," if position else ""
-        parts += [F.lit(f'{lead}"{name}":'), json_string(fields[name])]
+        parts += [F.lit(f'{lead}"{name}":'), json_member(fields[name])]
     parts.append(F.lit("}]"))
-    return F.sha2(F.concat(*parts), 256)
+    return F.sha2(escape_controls(F.concat(*parts)), 256)
 
 
 def short_id(prefix: str, payload: Column) -> Column:

@@ -13,7 +13,7 @@ IP, DOMAIN, HASH, PATH = "ip", "domain", "hash", "path"
 TYPE_ORDER = (IP, DOMAIN, HASH, PATH)
 
 # Where an embedded path stops.
-_PATH_STOP = "\\s\"'<>|\u00a6,;+"
+_PATH_STOP = "\\s\\x1c-\\x1f\"'<>|\u00a6,;+"
 # The indicator patterns.
 QUOTED_PATH = r'"((?:[A-Za-z]:\\|\\\\)[^"<>|\r\n]+)"'
 DRIVE_PATH = rf"(?U)[A-Za-z]:\\[^{_PATH_STOP}]+"

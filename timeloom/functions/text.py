@@ -62,24 +62,41 @@ def quote(text: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'"))
 
 
-def json_string(text: Column) -> Column:
-    """A JSON string literal with minimal escapes and lower-case hex codes."""
+def json_escape(text: Column) -> Column:
+    """Backslashes and quotes escaped for a JSON string; null becomes empty."""
     text = F.coalesce(text, F.lit(""))
-    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    controls = F.array(
-        *[
-            F.struct(
-                F.lit(chr(code)).alias("char"),
-                F.lit(_SHORT_ESCAPES.get(chr(code), f"\\u{code:04x}")).alias("escape"),
-            )
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
+def json_member(text: Column) -> Column:
+    """A JSON string literal, control characters still to be escaped."""
+    return F.concat(F.lit('"'), json_escape(text), F.lit('"'))
+
+
+def escape_controls(document: Column) -> Column:
+    """Control characters of assembled JSON as escapes with lower-case hex codes.
+
+    JSON on one line holds control characters only inside its strings, so one pass over
+    the whole document does; documents without any are returned as they are.
+    """
+    escapes = ", ".join(
+        f"named_struct('code', {code}, 'escape', '{text}')"
+        for code, text in (
+            (code, _SHORT_ESCAPES.get(chr(code), f"\\u{code:04x}").replace("\\", "\\\\"))
             for code in range(0x20)
-        ]
+        )
     )
-    controlled = F.aggregate(
-        controls, escaped, lambda kept, item: F.replace(kept, item["char"], item["escape"])
+    escaped = F.aggregate(
+        F.expr(f"array({escapes})"),
+        document,
+        lambda kept, item: F.replace(kept, F.char(item["code"]), item["escape"]),
     )
-    body = F.when(text.rlike(r"[\x00-\x1f]"), controlled).otherwise(escaped)
-    return F.concat(F.lit('"'), body, F.lit('"'))
+    return F.when(document.rlike(r"[\x00-\x1f]"), escaped).otherwise(document)
+
+
+def json_string(text: Column) -> Column:
+    """A complete JSON string literal."""
+    return escape_controls(json_member(text))
 
 
 def action_verb(label: Column, default: str) -> Column:

@@ -38,9 +38,10 @@ _NOT_ZONES = {"Factory", "localtime", "posixrules"}
 KNOWN_ZONES = tuple(sorted(zoneinfo.available_timezones() - _NOT_ZONES))
 
 
-def zone_is_known(zone: Column) -> Column:
-    """True for an IANA zone name."""
-    return zone.isin(*KNOWN_ZONES)
+def zone_is_known(column_name: str) -> Column:
+    """True for an IANA zone name, null for no zone."""
+    names = ", ".join(f"'{name}'" for name in KNOWN_ZONES)
+    return F.expr(f"{column_name} IN ({names})")
 
 
 def canonical_datetime(ts: Column) -> Column:
@@ -145,9 +146,11 @@ def add_timestamp(
     refused. Each stage is its own projection, so nothing is computed twice.
     """
     if isinstance(assume_timezone, Column):
-        zone = assume_timezone
+        zone, known = assume_timezone, zone_is_known("_zone")
     else:
+        # A fixed zone is checked here, not per row.
         zone = F.lit(assume_timezone).cast("string")
+        known = F.lit(assume_timezone is None or assume_timezone in KNOWN_ZONES)
     text, offset, wall = F.col("_time_text"), F.col("_offset"), F.col("_wall")
     staged = (
         df.withColumn("_zone", zone)
@@ -167,7 +170,7 @@ def add_timestamp(
             .try_cast("timestamp_ntz"),
         )
         .withColumn("_minutes", _offset_minutes(offset))
-        .withColumn("_zone_known", F.coalesce(zone_is_known(F.col("_zone")), F.lit(True)))
+        .withColumn("_zone_known", F.coalesce(known, F.lit(True)))
     )
     usable_zone = F.when(F.col("_zone_known"), F.coalesce(F.col("_zone"), F.lit("UTC"))).otherwise(
         F.lit("UTC")

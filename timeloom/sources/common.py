@@ -171,11 +171,10 @@ def mapped(
 ) -> DataFrame:
     """Project raw rows to the mapped row layout, normalizing the timestamp."""
     nothing = F.lit(None).cast("string")
+    per_row = isinstance(assume_timezone, Column)
     projected = df.select(
         raw_time.alias("timestamp_raw"),
-        (F.lit(assume_timezone) if not isinstance(assume_timezone, Column) else assume_timezone)
-        .cast("string")
-        .alias("_assumed_zone"),
+        (assume_timezone if per_row else nothing).alias("_assumed_zone"),
         timestamp_desc.alias("timestamp_desc"),
         message.alias("message"),
         (nothing if host is None else host).alias("host"),
@@ -190,6 +189,10 @@ def mapped(
         "ord",
         (nothing if reason is None else reason).alias("_refused"),
     )
-    timed = add_timestamp(projected, F.col("timestamp_raw"), F.col("_assumed_zone"))
+    timed = add_timestamp(
+        projected,
+        F.col("timestamp_raw"),
+        F.col("_assumed_zone") if per_row else assume_timezone,
+    )
     timed = timed.withColumn("reason", F.coalesce("_refused", "time_reason"))
     return timed.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in MAPPED.fields])
