@@ -30,6 +30,7 @@ _WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?"
 _DAY_NAMED = rf"(?i)^{_WEEKDAY}(\d{{1,2}})[\s-]+{_MONTH_NAME},?[\s-]+(\d{{4}})({_TAIL})$"
 _NAMED_DAY = rf"(?i)^{_WEEKDAY}{_MONTH_NAME}\s+(\d{{1,2}}),?\s+(\d{{4}})({_TAIL})$"
 
+_INCOMPLETE = rf"(?i)^(?:\d{{1,2}}:\d{{2}}|\d{{4}}-\d{{1,2}}$|{_MONTH_NAME}$)"
 _CLOCK = r"\d:\d{2}"
 _OFFSET_AT_END = r"(?<=\d)(Z|[+-]\d{2}:\d{2})$"
 
@@ -172,8 +173,10 @@ def add_timestamp(
         .withColumn("_minutes", _offset_minutes(offset))
         .withColumn("_zone_known", F.coalesce(known, F.lit(True)))
     )
-    usable_zone = F.when(F.col("_zone_known"), F.coalesce(F.col("_zone"), F.lit("UTC"))).otherwise(
-        F.lit("UTC")
+    usable_zone = (
+        F.when(F.col("_zone").isNull() | ~F.col("_zone_known"), F.lit("UTC"))
+        .when(F.col("_zone") == "ROC", F.lit("Asia/Taipei"))  # a name Java does not list
+        .otherwise(F.col("_zone"))
     )
     minutes = F.col("_minutes")
     instant = (
@@ -190,7 +193,7 @@ def add_timestamp(
         F.when(offset.isNotNull(), utc_offset_label(minutes)),
         F.lit(ASSUMED_UTC),
     )
-    incomplete = F.col("_trimmed_time").rlike(r"^(?:\d{1,2}:\d{2}|\d{4}-\d{1,2}$|[A-Za-z]{3,9}$)")
+    incomplete = F.col("_trimmed_time").rlike(_INCOMPLETE)
     quoted = quote(F.col("_raw_time"))
     reason = (
         F.when(F.coalesce(F.col("_trimmed_time"), F.lit("")) == "", F.lit("timestamp is empty"))

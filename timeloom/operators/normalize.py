@@ -157,7 +157,6 @@ def deduplicate(rows: DataFrame) -> DataFrame:
     merged = combinations.groupBy("event_id").agg(
         F.array_sort(F.collect_list(F.struct("ord", "tags", "title"))).alias("_seen")
     )
-    merged = merged.filter(F.size("_seen") > 1)
     joined = first.join(merged, "event_id", "left").select("event_id", "_first.*", "_seen")
     return _merge_details(joined).select(*EVENT_COLUMNS)
 
@@ -185,7 +184,10 @@ def _merge_details(joined: DataFrame) -> DataFrame:
         ).alias("lists"),
         F.col("details.maps").alias("maps"),
     ).cast(EVENT["details"].dataType)
-    return staged.withColumn("details", F.when(seen.isNull(), F.col("details")).otherwise(details))
+    # Nothing to merge when the only detection seen is the surviving row's own.
+    own = (F.size(seen) == 1) & (F.get(seen, F.lit(0))["ord"] == F.col("ord"))
+    unchanged = seen.isNull() | own
+    return staged.withColumn("details", F.when(unchanged, F.col("details")).otherwise(details))
 
 
 def normalize(mapped: DataFrame, namespaces: Namespaces = DEFAULT_NAMESPACES) -> Normalized:
