@@ -144,11 +144,17 @@ def from_table(
 def map_rows(raw: DataFrame, columns: ColumnMap) -> DataFrame:
     """Mapped rows: a select list generated from the column map."""
     own = [name for name in raw.columns if name not in ("source_artifact", "raw_ref", "ord")]
-    verb = action_verb(_optional(raw, columns.action_column), columns.default_action)
-    target = _optional(raw, columns.object_column)
-    described = _optional(raw, columns.timestamp_desc_column)
+    # Values used more than once are computed once, in a projection of their own.
+    staged = raw.withColumns(
+        {
+            "_verb": action_verb(_optional(raw, columns.action_column), columns.default_action),
+            "_target": _optional(raw, columns.object_column),
+            "_described": _optional(raw, columns.timestamp_desc_column),
+        }
+    )
+    verb, target, described = F.col("_verb"), F.col("_target"), F.col("_described")
     return mapped(
-        raw,
+        staged,
         raw_time=cell(raw, columns.timestamp),
         timestamp_desc=F.when(described.isin(*TIMESTAMP_DESCS), described).otherwise(
             F.lit(columns.default_timestamp_desc)
