@@ -162,28 +162,57 @@ def _units(placed: DataFrame, buckets: DataFrame) -> DataFrame:
     return alone.unionByName(several.join(by_block, ["cluster", "block"]).select("class", "set_key", "units"))
 
 
+def _candidate_bits(units: DataFrame) -> tuple[int, np.ndarray]:
+    """A Bloom filter of the classes: its number of bits, and the bits as 64-bit words.
+
+    It has at most 2**27 bits (16 MB), however many classes there are. A fuller filter lets
+    more documents through, which the join behind it drops; it never holds a class back.
+    """
+    bits = 1 << max(10, min(27, (16 * units.count()).bit_length()))
+    places = units.select(F.explode(F.array(*_bit_places("class", bits))).alias("place"))
+    words = (
+        places.groupBy(F.shiftright("place", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits"))
+        .toPandas()
+    )
+    out = np.zeros(bits >> 6, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return bits, out.view(np.uint64)
+
+
+def _bit_places(column: str, bits: int) -> list:
+    return [F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(bits)).alias(f"place_{k}") for k in range(3)]
+
+
 def _sets(docs: DataFrame, units: DataFrame, shingle: int) -> DataFrame:
-    """The shingle set of each class, once for each unit it takes part in."""
+    """The shingle set of each class, once for each unit it takes part in.
+
+    The texts are read where they lie. A Bloom filter of bounded size picks the candidates'
+    rows, so only their sets, not all texts, go into the join that finds the exact ones.
+    """
     text = F.col("text").cast("string")
-    slim = docs.select(F.col("doc_id").cast("long").alias("class"), text.alias("text"))
-    flat = units.select("class", "set_key", F.transform("units", lambda u: F.array(u["cluster"], u["left"], u["right"])).alias("units"))
+    bits, words = _candidate_bits(units)
+    wanted = docs.sparkSession.sparkContext.broadcast(words)
+    slim = docs.select(F.col("doc_id").cast("long").alias("class"), text.alias("text")).filter("class IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
-                rows: list[tuple] = []
-                names, wanted = piece.column("set_key").to_pylist(), piece.column("units").to_pylist()
-                ids = piece.column("class").to_pylist()
-                for found, name, own, units_ in zip(shingle_sets(piece.column("text"), shingle), names, ids, wanted, strict=True):
-                    raw = found.tobytes()
-                    # A repeated doc_id with another text is another class.
-                    if hashlib.blake2b(raw, digest_size=16).digest() == name:
-                        rows += [(*unit, own, raw) for unit in units_]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(columns, ["cluster", "left", "right", "class", "shingles"])
-
-    return slim.join(flat, "class").mapInArrow(run, "cluster long, left long, right long, class long, shingles binary")
+            known = np.ones(batch.num_rows, bool)
+            for k in range(3):
+                place = batch.column(f"place_{k}").to_numpy().astype(np.uint64)
+                known &= (wanted.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+            for piece in slices(batch.filter(pa.array(known)), "text"):
+                raw = [found.tobytes() for found in shingle_sets(piece.column("text"), shingle)]
+                names = [hashlib.blake2b(r, digest_size=16).digest() for r in raw]
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("class"), pa.array(names, pa.binary()), pa.array(raw, pa.binary())],
+                    ["class", "set_key", "shingles"],
+                )
+
+    sets = slim.select("*", *_bit_places("class", bits)).mapInArrow(run, "class long, set_key binary, shingles binary")
+    # A repeated doc_id with another text is another class.
+    joined = sets.join(units, ["class", "set_key"]).select("class", "shingles", F.explode("units").alias("unit"))
+    return joined.select("unit.cluster", "unit.left", "unit.right", "class", "shingles")
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
