@@ -86,7 +86,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     table gives no rows. ``sequence_id`` is shard * 2**32 + the row's number in its shard.
     """
     pieces = _pieces(token_table(docs, tokenizer_path, end_id), capacity)
-    return pieces.join(place(pieces.select("piece", "length"), capacity), "piece")
+    return pieces.join(place(pieces.select("piece", "length"), capacity).drop("length"), "piece")
 
 
 def _pieces(tokens: DataFrame, capacity: int) -> DataFrame:
@@ -110,9 +110,10 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     at, others = pieces.schema, [c for c in pieces.columns if c not in ("sequence_id", "offset")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
             return
+        table = pa.Table.from_batches(parts)
         table = table.sort_by([("length", "descending"), ("piece", "ascending")])
         row, offset = best_fit_decreasing(table.column("length").to_numpy(), capacity)
         row += TaskContext.get().partitionId() << 32

@@ -218,8 +218,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     ``docs``: doc_id, n_words, n_hit (words inside any occurrence of a window), items (ids of
     items with occurring windows, one entry for each item row), and matches: the longest
     verbatim ones as (item_id, doc_word, item_word, n_words).
-    Null or empty texts have no words and no hit; null ids stay null; repeated rows and items
-    count each; an empty benchmark hits nothing; other columns are ignored.
+    Null or empty texts have no words and no hit; null ids stay null (an item without id
+    counts, with a null entry in items); repeated rows and items count each; an empty benchmark hits nothing; other columns are ignored.
     With ``only_clean`` the rows of ``docs`` without a hit, with all their columns, instead.
     """
     blocks = _item_blocks(benchmark)
@@ -233,7 +233,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     else:
         found = _several_passes(slim, blocks, window)
     size = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
-    ids = F.transform("items", lambda i: F.element_at(F.split(i, ":"), -1))
+    ids = F.transform("items", lambda i: F.nullif(F.element_at(F.split(i, ":"), -1), F.lit("")))
     return found.select("doc_id", "n_words", size.alias("n_hit"), ids.alias("items"), "matches")
 
 
@@ -327,7 +327,7 @@ def _clean_rows(docs: DataFrame, items: list, window: int) -> DataFrame:
 
 
 def digest_rows(found: DataFrame) -> DataFrame:
-    """One row per document with the count and digest of its items."""
+    """One row per document with the count and digest of its items; the digest skips null ids."""
     ids = F.array_join(F.array_sort("items"), ",")
     return found.select(
         "doc_id",

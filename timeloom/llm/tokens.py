@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,20 +52,20 @@ class WordEncoder(TextEncoder):
         if any(s in text for s in self.special):
             return super().ids(text)
         words = text.lower().split()
-        young = self.young
         try:
-            return b"".join(map(young.__getitem__, words))
+            return b"".join(map(self.young.__getitem__, words))
         except KeyError:
-            self._learn(set(words).difference(young))
+            self._learn(set(words))
             return b"".join(map(self.young.__getitem__, words))
 
     def learn(self, texts: list[bytes]) -> None:
         """Put the words of many texts into the cache at once."""
-        self._learn(set().union(*(t.lower().split() for t in texts)).difference(self.young))
+        self._learn(set().union(*(t.lower().split() for t in texts)))
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.young) > CACHE_WORDS // 2:
             self.old, self.young = self.young, {}
+        words = words.difference(self.young)
         known, stems, letters, others = self.old, {}, [], []
         for word in words:
             if word in known:
@@ -107,7 +108,8 @@ class WordEncoder(TextEncoder):
 def _letter_or_digit(word: bytes) -> bool:
     if word[-1] < 0x80:
         return word[-1:].isalnum()
-    last = word.decode("utf-8", "replace")[-1]
+    # Folding may take a letter apart into a letter and a mark.
+    last = unicodedata.normalize("NFC", word.decode("utf-8", "replace")[-1]).lower()[-1]
     return last.isalpha() or last.isnumeric()
 
 
