@@ -58,6 +58,16 @@ def test_page_without_the_marked_article_is_read_without():
     assert text_of("<body><p>plain</p><nav>n</nav></body>", *pages) == "plain"
 
 
+def test_the_surest_mark_counts():
+    page = (
+        '<body class="no-sidebar post"><div id="content"><p>intro</p><main><p>lead</p><article><header>By me</header>'
+        '<p>body</p></article></main></div><div class="content-sidebar"><p>side</p></div></body>'
+    )
+    assert text_of(page) == "By me\nbody"
+    assert text_of(page.replace("article", "div")) == "lead\nBy me\nbody"
+    assert text_of(page.replace("article", "div").replace("main", "div")) == "intro\nlead\nBy me\nbody"
+
+
 def test_odd_markup_does_not_break():
     for page in ("", None, "<", "<p", "a < b <p>c", "<!-- open", "<script>x", "</p></div>text", "<a href='>'>q</a>", "<p>" * 500, "<div>" * 300 + "x"):
         assert isinstance(text_of(page), str)

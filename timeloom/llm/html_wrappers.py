@@ -7,9 +7,9 @@ side, and what is skipped becomes an optional group; texts that differ become a
 texts that never do stay fixed. Every task aligns its own pages of a host, so a host with
 any share of the pages costs one small expression per task; these are aligned in two steps.
 
-The expression tells which slots are the article: those inside article groups, or, where the
-host marks none, those outside menus, headers, footers, sidebars, notices, adverts, forms and
-comments that are not mostly links. Text that is fixed on all pages of the host is template.
+The expression tells which slots are the article: those inside article groups (the tag, else
+a main part, else a group so named), or, where the host marks none, those outside menus,
+headers, footers, sidebars, notices, adverts, forms and comments that are not mostly links. Text that is fixed on all pages of the host is template.
 """
 
 from __future__ import annotations
@@ -48,10 +48,11 @@ _NEVER = frozenset(
     "script style textarea title xmp noembed noframes iframe head noscript template svg canvas object audio video math "
     "nav footer aside form button select option input label fieldset dialog menu".split()
 )
-_ARTICLE = frozenset("article main".split())
+#: What marks the article, from the surest mark to the least.
+LEVELS = ("article", "main", "content")
 #: Words of class, id and role that name parts which are not the article.
 _NEVER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner "
+    "ad ads adv adbox adslot adunit adbanner advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner "
     "sidebar aside nav navbar navigation menu menubar breadcrumb breadcrumbs comment comments commentlist disqus reply "
     "replies respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended footer masthead toolbar pager pagination "
@@ -74,9 +75,11 @@ _FENCES = frozenset("html body table td th button object".split())
 
 
 def _kind(tag: str, attributes: str, in_article: bool) -> tuple[str, str]:
-    """The key of a group, and what it is: "never", "article" or "plain"."""
+    """The key of a group, and what it is: "never", one of ``LEVELS``, or "plain"."""
     if tag in _NEVER:
         return tag, "never"
+    if tag in ("html", "body"):  # their names speak of the whole page
+        return tag, "plain"
     words: set[str] = set()
     if attributes and not attributes.isspace():
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -90,9 +93,11 @@ def _kind(tag: str, attributes: str, in_article: bool) -> tuple[str, str]:
     if words & _NEVER_WORDS or ((tag == "header" or words & _HEAD_WORDS) and not in_article):
         return f"{tag}.{min(words & (_NEVER_WORDS | _HEAD_WORDS), default='')}", "never"
     key = f"{tag}.{'.'.join(sorted(words))}" if words else tag
-    if tag in _ARTICLE or words & _ARTICLE_WORDS:
+    if tag == "article":
         return key, "article"
-    return key, "plain"
+    if tag == "main" or (words == {"main"} and "role" in attributes):
+        return key, "main"
+    return key, "content" if words & _ARTICLE_WORDS else "plain"
 
 
 class Group:
@@ -115,7 +120,7 @@ def parse(page: str | None) -> Group:
     def pop_to(depth: int) -> None:
         nonlocal articles
         for group in stack[depth:]:
-            articles -= group.kind == "article"
+            articles -= group.kind in LEVELS
         del stack[depth:]
 
     while at < size:
@@ -192,7 +197,7 @@ def parse(page: str | None) -> Group:
             continue
         if attributes.endswith("/") and tag in ("svg", "math"):
             continue
-        articles += kind == "article"
+        articles += kind in LEVELS
         stack.append(group)
     return root
 
@@ -292,15 +297,14 @@ class Wrapper:
     def __init__(self, host: list) -> None:
         self.host = host
         pages = max(1, host[_PAGES])
-        marked = _article_pages(host)
-        #: Whether the host marks articles on at least half of its pages.
-        self.marked = 2 * marked >= pages
+        #: The surest mark of the article that at least half of the host's pages have, or None.
+        self.level = next((level for level in LEVELS if 2 * _pages_with(host, level) >= pages), None)
         self.drops_fixed = pages >= FIXED_PAGES and self._varies(host, False)
 
     def _varies(self, x: list, inside: bool) -> bool:
         if x[_KIND] == "never":
             return False
-        inside = inside or x[_KIND] == "article" or not self.marked
+        inside = inside or self.level in (None, x[_KIND])
         return (inside and x[_TEXT] == "") or any(self._varies(p, inside) for p in x[_PARTS])
 
     def is_template(self, x: list | None) -> bool:
@@ -311,18 +315,20 @@ class Wrapper:
         return bool(x) and 10 * x[_LINKED] > 6 * x[_CHARS] > 0
 
     def text(self, page: Group) -> str:
-        """The article's blocks, one per line; a page without a marked article is read as if none were."""
+        """The article's blocks, one per line; a page without the host's mark is read as if there were none."""
         blocks: list[str] = []
-        for marked in (True, False) if self.marked else (False,):
+        for level in (self.level, None) if self.level else (None,):
             run: list[str] = []
-            self._read(page, self.host, not marked, marked, blocks, run)
+            self._read(page, self.host, level is None, level, blocks, run)
             _close(run, blocks)
             if blocks:
                 break
         return "\n".join(blocks)
 
-    def _read(self, group: Group, known: list | None, inside: bool, marked: bool, blocks: list[str], run: list[str]) -> None:
-        template = self.is_template(known) or (not marked and self.is_linked(known))
+    def _read(
+        self, group: Group, known: list | None, inside: bool, level: str | None, blocks: list[str], run: list[str]
+    ) -> None:
+        template = self.is_template(known) or (level is None and self.is_linked(known))
         groups = known[_PARTS] if known else []
         at = 0
         for part in group.parts:
@@ -341,15 +347,15 @@ class Wrapper:
             if part.kind == "never":
                 continue
             self._read(
-                part, groups[meet] if meet is not None else None, inside or part.kind == "article", marked, blocks, run
+                part, groups[meet] if meet is not None else None, inside or part.kind == level, level, blocks, run
             )
             _close(run, blocks)
 
 
-def _article_pages(x: list) -> int:
+def _pages_with(x: list, level: str) -> int:
     if x[_KIND] == "never":
         return 0
-    return x[_PAGES] if x[_KIND] == "article" else max((_article_pages(p) for p in x[_PARTS]), default=0)
+    return x[_PAGES] if x[_KIND] == level else max((_pages_with(p, level) for p in x[_PARTS]), default=0)
 
 
 def _close(run: list[str], blocks: list[str]) -> None:
