@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
-The words of each shard of training text (a run of whole documents of about two million
+The words of each shard of training text (a run of whole documents of about a million
 bytes) are numbered by the benchmark's vocabulary, and the shard's word suffixes are sorted.
 Suffixes whose first words occur nowhere in the benchmark cannot match and stay out. Every
 benchmark suffix that begins a window is then searched in the sorted suffixes by two

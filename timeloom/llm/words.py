@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass works on; a longer single text is its own pass.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
