@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from timeloom.llm import language, quality, queries, toxicity
-from timeloom.llm.common import labelled_sample
+from timeloom.llm.sampling import drop_copies, labelled_sample
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -62,13 +62,19 @@ def test_edge_rows(spark):
 
 
 def test_sample_is_bounded(spark):
-    docs = spark.createDataFrame([(i, "abc " * 1000) for i in range(50)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} " * 300) for i in range(50)], "doc_id long, text string")
     known = spark.createDataFrame([(i, i % 3) for i in range(50)] * 2 + [(None, 1), (3, None)], "doc_id long, label int")
     got = labelled_sample(docs, known, 5, 160)
     assert len(got) == 15 and all(len(t) <= 160 + 16 for t, _ in got)
     assert got == labelled_sample(docs.repartition(7), known, 5, 160)
 
 
+def test_near_copies_leave_the_sample():
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base), " ".join(["x", *base]), " ".join(f"v{i}" for i in range(200)), "", "a", "a", "b"]
+    assert [t for t, _ in drop_copies([(t, 0) for t in texts])] == [texts[0], texts[2], "", "a", "b"]
+
+
 def test_folding():
     assert toxicity.folded_words("An 1d10t, ІDIОT i​diot ïdiót $cum t.rash") == ["an", "idiot", "idiot", "idiot", "idiot", "scum", "t", "rash"]
     assert toxicity.folded_words("WORD!! word$$$ 100") == ["word", "word", "ioo"]

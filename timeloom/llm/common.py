@@ -1,4 +1,4 @@
-"""Help that several operators share: lineage cuts, joins on hot keys, labelled samples."""
+"""Help that several operators share: lineage cuts, joins on hot keys, the split of ids."""
 
 from __future__ import annotations
 
@@ -45,39 +45,3 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFram
 def digits_hash(id_column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``: the split into learned and held-out rows."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
-
-
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, per_label: int, max_chars: int, pieces: int = 16
-) -> list[tuple[str, object]]:
-    """Texts and labels to learn from, on the driver: at most ``per_label`` rows of each label.
-
-    ``labels`` has ``doc_id`` and a non-null ``label``. The rows are the first by a hash of
-    doc_id, and come in that order. A text of over ``max_chars`` characters gives ``pieces``
-    evenly spaced pieces that hold as many together, so labels times ``per_label`` times
-    ``max_chars`` bounds what reaches the driver. Only fitting reads this sample.
-    """
-    wanted = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").dropDuplicates(["doc_id"])
-    kinds = [r[0] for r in wanted.select("label").distinct().orderBy("label").limit(1000).collect()]
-    chosen = None
-    for kind in kinds:
-        part = wanted.filter(F.col("label") == F.lit(kind)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return []
-    text = F.coalesce("text", F.lit(""))
-    size = max_chars // pieces
-    thinned = F.concat_ws(
-        " ",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(pieces - 1)),
-            lambda i: F.substring(text, F.floor(i * (F.length(text) - size) / (pieces - 1)).cast("int") + 1, F.lit(size)),
-        ),
-    )
-    rows = (
-        docs.select("doc_id", F.when(F.length(text) <= max_chars, text).otherwise(thinned).alias("text"))
-        .join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
-        .collect()
-    )
-    rows.sort(key=lambda r: (hash((r.doc_id * 2654435761) & 0xFFFFFFFF), r.doc_id, r.text))
-    return [(r.text, r.label) for r in rows]

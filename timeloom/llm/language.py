@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import labelled_sample
+from timeloom.llm.sampling import labelled_sample
 from timeloom.llm.words import slices, text_bytes
 
 #: At most so many labelled rows of each language are learned from, each of so many characters.

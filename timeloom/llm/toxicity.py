@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timeloom.llm.common import labelled_sample
+from timeloom.llm.sampling import labelled_sample
 from timeloom.llm.words import slices
 
 #: At most so many labelled rows of each label are learned from, each of so many characters.
@@ -141,17 +141,19 @@ def learn_lexicon(sample: list[tuple[str, int]]) -> dict[str, float]:
     for words, toxic in texts:
         seen[toxic].update(_entries(words) & wanted)
     base = rows[1] / (rows[0] + rows[1])
-    # A stem whose toxic rows one longer entry explains gives way to it.
-    explained = {e[:-1]: 0 for e in wanted}
-    for entry in sorted(wanted, key=lambda e: (-len(e), e)):
-        bad = max(seen[1][entry], explained.get(entry, 0))
-        for size in range(SHORTEST_STEM + 1, len(entry)):
-            explained[entry[:size]] = max(explained.get(entry[:size], 0), bad)
+    # Where one word explains most toxic rows of a stem, only the rest is evidence for it.
+    explained: dict[str, int] = {}
+    for entry in wanted:
+        if entry.endswith(" "):
+            for size in range(SHORTEST_STEM + 1, len(entry)):
+                explained[entry[:size]] = max(explained.get(entry[:size], 0), seen[1][entry])
     weights: dict[str, float] = {}
     for entry in sorted(wanted, key=lambda e: (len(e), e)):
         bad, good = seen[1][entry], seen[0][entry]
+        if 2 * explained.get(entry, 0) > bad:
+            bad -= explained[entry]
         n = bad + good
-        if explained.get(entry, 0) > 0.9 * bad:
+        if bad < least:
             continue
         weight = math.log((bad + 0.5) / (rows[1] + 1)) - math.log((good + 0.5) / (rows[0] + 1))
         evidence = 2 * (bad * math.log(bad / (n * base)) + (good * math.log(good / (n * (1 - base))) if good else 0.0))
@@ -166,7 +168,7 @@ def learn_lexicon(sample: list[tuple[str, int]]) -> dict[str, float]:
 def _entries(words: set[str]) -> set[str]:
     found = {f" {w} " for w in words}
     for size in range(SHORTEST_STEM, LONGEST_STEM + 1):
-        found.update(f" {w[:size]}" for w in words if len(w) > size)
+        found.update(f" {w[:size]}" for w in words if len(w) >= size)
     return found
 
 
