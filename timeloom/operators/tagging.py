@@ -71,31 +71,39 @@ def _technique(technique_id: Column, mapping_source: str, source_id: Column) ->
     )
 
 
-def native_techniques(tags: Column, successors: Column) -> Column:
-    """A source's own tags: well-formed ids, revoked ones replaced by their successor.
+def _with_native(events: DataFrame, successors: DataFrame | None) -> DataFrame:
+    """Add ``_native``: a source's own tags as techniques, revoked ids by their successors.
 
-    ``successors`` maps revoked ids to live ones. The first tag to resolve to an id
-    keeps its place; the id it was written as is kept when it was replaced.
+    Well-formed ids only. The first tag to resolve to an id keeps its place; the id it was
+    written as is kept when it was replaced. Lists of tags recur, so each distinct list is
+    resolved once, and rows without tags join nothing.
     """
-    requested = F.filter(
-        F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.upper(strip(t))),
-        lambda t: t.rlike(TECHNIQUE_PATTERN),
+    tags = D.values(F.col("details"), "rule_mitre_tags")
+    keyed = events.withColumn("_tags", F.when(F.size(tags) > 0, tags))
+    written = F.transform("_tags", lambda t: F.upper(strip(t)))
+    requested = (
+        keyed.filter(F.col("_tags").isNotNull())
+        .select("_tags")
+        .distinct()
+        .select("_tags", F.posexplode(written).alias("_position", "_requested"))
+        .filter(F.col("_requested").rlike(TECHNIQUE_PATTERN))
     )
-    resolved = F.transform(
-        requested,
-        lambda t: F.struct(
-            F.coalesce(F.try_element_at(successors, t), t).alias("id"), t.alias("requested")
-        ),
+    resolved = F.col("_requested")
+    if successors is not None:
+        known = successors.select(F.col("technique_id").alias("_requested"), "revoked_by")
+        requested = requested.join(known, "_requested", "left")
+        resolved = F.coalesce("revoked_by", "_requested")
+    firsts = (
+        requested.withColumn("_id", resolved)
+        .groupBy("_tags", "_id")
+        .agg(F.min(F.struct("_position", "_requested")).alias("_first"))
     )
-
-    def first_of_each(kept: Column, item: Column) -> Column:
-        known = F.exists(kept, lambda k: k["technique_id"] == item["id"])
-        source = F.when(item["id"] != item["requested"], item["requested"])
-        return F.when(known, kept).otherwise(
-            F.concat(kept, F.array(_technique(item["id"], RULE_TAG, source)))
-        )
-
-    return F.aggregate(resolved, F.array().cast(TECHNIQUES), first_of_each)
+    source = F.when(F.col("_id") != F.col("_first._requested"), F.col("_first._requested"))
+    placed = F.struct("_first._position", _technique(F.col("_id"), RULE_TAG, source).alias("technique"))
+    native = firsts.groupBy("_tags").agg(F.array_sort(F.collect_list(placed)).alias("_placed"))
+    found = F.transform("_placed", lambda item: item["technique"]).cast(TECHNIQUES)
+    joined = keyed.join(native, "_tags", "left")
+    return joined.withColumn("_native", F.coalesce(found, F.array().cast(TECHNIQUES))).drop("_tags", "_placed")
 
 
 def merge_techniques(existing: Column, added: Column) -> Column:
@@ -112,22 +120,17 @@ def merge_techniques(existing: Column, added: Column) -> Column:
 
 
 def tag_events(
-    events: DataFrame, successors: dict[str, str], use_rule_tags: bool = True
+    events: DataFrame, successors: DataFrame | None = None, use_rule_tags: bool = True
 ) -> DataFrame:
     """Set ``attack_techniques``; tagging a tagged event changes nothing.
 
-    ``successors`` is the catalog's revocation map (see ``sources.catalog``), small
-    enough to be a literal, so tagging is a pure projection. With
-    ``use_rule_tags=False`` every event gets the inference rules only.
+    ``successors`` pairs revoked ids with live ones (``technique_id, revoked_by``; see
+    ``sources.catalog``). With ``use_rule_tags=False`` every event gets the inference
+    rules only, which is a projection.
     """
-    if successors:
-        literal = F.create_map(*[F.lit(text) for pair in sorted(successors.items()) for text in pair])
-    else:
-        literal = F.from_json(F.lit("{}"), "map<string,string>")
     table = rule_techniques()
     if use_rule_tags:
-        native = native_techniques(D.values(F.col("details"), "rule_mitre_tags"), literal)
-        staged = events.withColumn("_native", native)
+        staged = _with_native(events, successors)
         resolved = F.when(
             (F.size("_native") > 0) | F.col("source_tool").isin(*DETECTION_TOOLS), F.col("_native")
         ).otherwise(table)

@@ -10,11 +10,6 @@ from pyspark.sql import types as T
 
 from timeloom.session import materialize
 
-MAX_CHAIN = 32
-# A catalog is a published list of some hundred entries; a table past this bound is not
-# one, and is refused rather than collected.
-MAX_REVOCATIONS = 20_000
-
 TACTIC_SCHEMA = "position int, tactic_id string, shortname string, name string"
 TECHNIQUE_SCHEMA = (
     "technique_id string, name string, display_name string, tactics array<string>, "
@@ -30,17 +25,11 @@ class Catalog:
     techniques: DataFrame
     version: str = ""
 
-    def successors(self) -> dict[str, str]:
-        """Revoked id to live successor, for the tagger's literal map."""
-        rows = (
-            self.techniques.filter(F.col("revoked_by").isNotNull())
-            .select("technique_id", "revoked_by")
-            .limit(MAX_REVOCATIONS + 1)
-            .collect()
+    def successors(self) -> DataFrame:
+        """Revoked ids and their live successors: ``technique_id, revoked_by``."""
+        return self.techniques.filter(F.col("revoked_by").isNotNull()).select(
+            "technique_id", "revoked_by"
         )
-        if len(rows) > MAX_REVOCATIONS:
-            raise ValueError("the catalog lists more revocations than a technique catalog can")
-        return {row["technique_id"]: row["revoked_by"] for row in rows}
 
 
 def with_display_names(techniques: DataFrame) -> DataFrame:
@@ -119,7 +108,7 @@ _STIX = T.StructType(
 def final_successors(patterns: DataFrame, revocations: DataFrame) -> DataFrame:
     """``(id, successor_id)``: each revocation chain followed to its live end.
 
-    One self-join per step advances every unfinished chain at once; a chain that leads
+    One self-join per round advances every unfinished chain at once; a chain that leads
     nowhere, or in a circle, ends without a successor.
     """
     step = revocations.groupBy("source_ref").agg(F.max_by("target_ref", "_order").alias("_next"))
@@ -130,24 +119,17 @@ def final_successors(patterns: DataFrame, revocations: DataFrame) -> DataFrame:
     links = materialize(links, "revocations")
     # A link to an unknown pattern ends the chain without a successor.
     usable = links.filter(F.col("_revoked").isNotNull())
-    open_chains = usable.select(F.col("_from").alias("id"), "_next", "_revoked")
-    finished = open_chains.filter(~F.col("_revoked")).select("id", F.col("_next").alias("successor"))
-    pending = open_chains.filter("_revoked").select("id", "_next")
-    for _ in range(MAX_CHAIN):
+    jumps = usable.select(F.col("_from").alias("id"), F.col("_next").alias("at"), F.col("_revoked").alias("open"))
+    # Every round doubles how far an unfinished chain has come, so after as many rounds as
+    # the number of links has binary digits only circles are unfinished.
+    for _ in range(links.count().bit_length() + 1):
+        pending = jumps.filter("open")
         if pending.isEmpty():
             break
-        advanced = pending.join(
-            usable.select(
-                F.col("_from").alias("_next"), F.col("_next").alias("_after"), "_revoked"
-            ),
-            "_next",
-        )
-        advanced = materialize(advanced, "revocation-step")
-        finished = finished.unionByName(
-            advanced.filter(~F.col("_revoked")).select("id", F.col("_after").alias("successor"))
-        )
-        pending = advanced.filter("_revoked").select("id", F.col("_after").alias("_next"))
-    return finished
+        further = jumps.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("open").alias("_open"))
+        moved = pending.join(further, "at").select("id", F.col("_at").alias("at"), F.col("_open").alias("open"))
+        jumps = materialize(jumps.filter("NOT open").unionByName(moved), "revocation-step")
+    return jumps.filter("NOT open").select("id", F.col("at").alias("successor"))
 
 
 def read_bundle(spark: SparkSession, path: str) -> Catalog:
