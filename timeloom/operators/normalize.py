@@ -139,26 +139,42 @@ def provenance_rows(rows: DataFrame) -> DataFrame:
 def deduplicate(rows: DataFrame) -> DataFrame:
     """One event per id: the first record survives, detection details are merged.
 
-    The first record is a combinable minimum, so copies collapse before the shuffle.
-    Tags and titles are first reduced to the distinct combinations per event, then
+    Only ids and positions are aggregated. Ids that occur once pass through; for the
+    others the row at the first position stays, and only their copies are looked at for
+    tags and titles. These are first reduced to the distinct combinations per event, then
     gathered: what is gathered is bounded by the rules that can fire on one event, not
     by its number of copies.
     """
     good = rows.filter(F.col("reason").isNull()).select(*EVENT_COLUMNS)
-    payload = F.struct(*[F.col(name) for name in EVENT_COLUMNS if name != "event_id"])
-    first = good.groupBy("event_id").agg(F.min_by(payload, F.col("ord")).alias("_first"))
-    detections = good.select(
-        "event_id",
-        "ord",
-        F.coalesce(D.values(F.col("details"), "rule_mitre_tags"), F.array().cast("array<string>")).alias("tags"),
-        D.scalar(F.col("details"), "rule_title").alias("title"),
-    ).filter((F.size("tags") > 0) | F.col("title").isNotNull())
+    repeated = (
+        good.groupBy("event_id")
+        .agg(F.min("ord").alias("_first"), F.count("*").alias("_n"))
+        .filter("_n > 1")
+        .select("event_id", "_first")
+    )
+    repeated = materialize(repeated, "repeated")
+    first = (
+        good.join(repeated, "event_id", "left")
+        .filter(F.col("_first").isNull() | (F.col("ord") == F.col("_first")))
+        .drop("_first")
+    )
+    detections = (
+        good.join(repeated.select("event_id"), "event_id", "left_semi")
+        .select(
+            "event_id",
+            "ord",
+            F.coalesce(
+                D.values(F.col("details"), "rule_mitre_tags"), F.array().cast("array<string>")
+            ).alias("tags"),
+            D.scalar(F.col("details"), "rule_title").alias("title"),
+        )
+        .filter((F.size("tags") > 0) | F.col("title").isNotNull())
+    )
     combinations = detections.groupBy("event_id", "tags", "title").agg(F.min("ord").alias("ord"))
     merged = combinations.groupBy("event_id").agg(
         F.array_sort(F.collect_list(F.struct("ord", "tags", "title"))).alias("_seen")
     )
-    joined = first.join(merged, "event_id", "left").select("event_id", "_first.*", "_seen")
-    return _merge_details(joined).select(*EVENT_COLUMNS)
+    return _merge_details(first.join(merged, "event_id", "left")).select(*EVENT_COLUMNS)
 
 
 def _merge_details(joined: DataFrame) -> DataFrame:
