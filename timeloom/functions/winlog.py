@@ -22,33 +22,33 @@ _USER = ("User", None)
 _SOURCE_USER = ("SourceUser", None)
 _NOBODY = (None, None)
 
-# Fixed values: (channel, event id, verb, object fields in order, actor fields).
-# An object written as "=text" is a constant, "@endpoint" an address with its port.
+# Fixed values: (channel, event id, verb, constant object, object is an endpoint, object
+# fields in order, actor fields).
 RULES = (
-    (SECURITY, 1102, "log_clear", ("=Security",), _SUBJECT),
-    (SECURITY, 4624, "logon", ("IpAddress",), _TARGET),
-    (SECURITY, 4625, "logon_failure", ("IpAddress",), _TARGET),
-    (SECURITY, 4688, "process_create", ("NewProcessName",), _SUBJECT),
-    (SECURITY, 4689, "process_terminate", ("ProcessName",), _SUBJECT),
-    (SECURITY, 4697, "service_install", ("ServiceName",), _SUBJECT),
-    (SECURITY, 4698, "scheduled_task_create", ("TaskName",), _SUBJECT),
-    (SECURITY, 4720, "account_create", ("TargetUserName",), _SUBJECT),
-    (SECURITY, 5140, "network_share_access", ("ShareName",), _SUBJECT),
-    (SECURITY, 5145, "network_share_access", ("ShareName",), _SUBJECT),
-    (SYSTEM, 104, "log_clear", ("Channel",), _SUBJECT),
-    (SYSTEM, 7036, "service_control", ("param1", "ServiceName"), _NOBODY),
-    (SYSTEM, 7040, "service_control", ("param4", "param1"), _NOBODY),
-    (SYSTEM, 7045, "service_install", ("ServiceName",), _NOBODY),
-    (SYSMON, 1, "process_create", ("Image",), _USER),
-    (SYSMON, 3, "network_connect", ("@endpoint",), _USER),
-    (SYSMON, 8, "remote_thread_create", ("TargetImage",), _SOURCE_USER),
-    (SYSMON, 10, "process_access", ("TargetImage",), _SOURCE_USER),
-    (SYSMON, 11, "file_create", ("TargetFilename",), _USER),
-    (SYSMON, 13, "registry_set", ("TargetObject",), _USER),
-    (SYSMON, 22, "dns_query", ("QueryName",), _USER),
-    (SYSMON, 23, "file_delete", ("TargetFilename",), _USER),
-    (SYSMON, 26, "file_delete", ("TargetFilename",), _USER),
-    (TASK_SCHEDULER, 106, "scheduled_task_create", ("TaskName",), ("UserContext", None)),
+    (SECURITY, 1102, "log_clear", "Security", False, (), _SUBJECT),
+    (SECURITY, 4624, "logon", None, False, ("IpAddress",), _TARGET),
+    (SECURITY, 4625, "logon_failure", None, False, ("IpAddress",), _TARGET),
+    (SECURITY, 4688, "process_create", None, False, ("NewProcessName",), _SUBJECT),
+    (SECURITY, 4689, "process_terminate", None, False, ("ProcessName",), _SUBJECT),
+    (SECURITY, 4697, "service_install", None, False, ("ServiceName",), _SUBJECT),
+    (SECURITY, 4698, "scheduled_task_create", None, False, ("TaskName",), _SUBJECT),
+    (SECURITY, 4720, "account_create", None, False, ("TargetUserName",), _SUBJECT),
+    (SECURITY, 5140, "network_share_access", None, False, ("ShareName",), _SUBJECT),
+    (SECURITY, 5145, "network_share_access", None, False, ("ShareName",), _SUBJECT),
+    (SYSTEM, 104, "log_clear", None, False, ("Channel",), _SUBJECT),
+    (SYSTEM, 7036, "service_control", None, False, ("param1", "ServiceName"), _NOBODY),
+    (SYSTEM, 7040, "service_control", None, False, ("param4", "param1"), _NOBODY),
+    (SYSTEM, 7045, "service_install", None, False, ("ServiceName",), _NOBODY),
+    (SYSMON, 1, "process_create", None, False, ("Image",), _USER),
+    (SYSMON, 3, "network_connect", None, True, (), _USER),
+    (SYSMON, 8, "remote_thread_create", None, False, ("TargetImage",), _SOURCE_USER),
+    (SYSMON, 10, "process_access", None, False, ("TargetImage",), _SOURCE_USER),
+    (SYSMON, 11, "file_create", None, False, ("TargetFilename",), _USER),
+    (SYSMON, 13, "registry_set", None, False, ("TargetObject",), _USER),
+    (SYSMON, 22, "dns_query", None, False, ("QueryName",), _USER),
+    (SYSMON, 23, "file_delete", None, False, ("TargetFilename",), _USER),
+    (SYSMON, 26, "file_delete", None, False, ("TargetFilename",), _USER),
+    (TASK_SCHEDULER, 106, "scheduled_task_create", None, False, ("TaskName",), ("UserContext", None)),
 )
 
 _RULE_SCHEMA = T.StructType(
@@ -56,6 +56,8 @@ _RULE_SCHEMA = T.StructType(
         T.StructField("_channel_key", T.StringType()),
         T.StructField("_event_number", T.LongType()),
         T.StructField("rule_action", T.StringType()),
+        T.StructField("object_constant", T.StringType()),
+        T.StructField("object_is_endpoint", T.BooleanType()),
         T.StructField("object_keys", T.ArrayType(T.StringType())),
         T.StructField("user_key", T.StringType()),
         T.StructField("domain_key", T.StringType()),
@@ -66,11 +68,14 @@ _RULE_SCHEMA = T.StructType(
 def rule_table(spark: SparkSession) -> DataFrame:
     """The rules keyed for lookup; a blank channel finds the Security and System rules."""
     rows = []
-    for channel, number, action, keys, (user, domain) in RULES:
+    for channel, number, action, constant, endpoint, keys, (user, domain) in RULES:
         channel_keys = ["sysmon" if channel == SYSMON else channel.lower()]
         if channel in (SECURITY, SYSTEM):
             channel_keys.append("")
-        rows += [(key, number, action, list(keys), user, domain) for key in channel_keys]
+        rows += [
+            (key, number, action, constant, endpoint, list(keys), user, domain)
+            for key in channel_keys
+        ]
     return spark.createDataFrame(rows, _RULE_SCHEMA)
 
 
@@ -115,7 +120,6 @@ def actor(fields: Column) -> Column:
 def target(fields: Column) -> Column:
     """The object: a constant, an endpoint, or the first field with a value."""
     keys = F.col("object_keys")
-    first = F.get(keys, F.lit(0))
     address = F.coalesce(field(fields, "DestinationIp"), field(fields, "DestinationHostname"))
     port = field(fields, "DestinationPort")
     endpoint = F.when(port.isNotNull(), F.concat(address, F.lit(":"), port)).otherwise(address)
@@ -123,8 +127,8 @@ def target(fields: Column) -> Column:
         F.transform(keys, lambda key: field(fields, key)), lambda value: value.isNotNull()
     )
     return (
-        F.when(first.startswith("="), F.substr(first, F.lit(2)))
-        .when(first == "@endpoint", endpoint)
+        F.when(F.col("object_constant").isNotNull(), F.col("object_constant"))
+        .when(F.col("object_is_endpoint"), endpoint)
         .otherwise(F.get(candidates, F.lit(0)))
     )
 

@@ -101,17 +101,13 @@ def file_name() -> Column:
     return F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
 
 
-# A split table of this many rows is a few megabytes, safe to send to every executor.
-MAX_BROADCAST_SPLITS = 100_000
-
-
 def with_row_number(df: DataFrame, output: str) -> DataFrame:
     """Add each row's 1-based number within its file.
 
     Only one small row per split is aggregated: the first row id and the row count.
     Running sums of the counts give every split its offset, and the number follows
-    from the row id, so the rows themselves are not sorted. The split table is sent to
-    the executors when it is small, and joined by shuffle otherwise.
+    from the row id, so the rows themselves are not sorted. The split table is written,
+    so that its size is known when the join is planned.
     """
     splits = df.groupBy(FILE, SPLIT).agg(F.min(ROW).alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(FILE).orderBy(SPLIT).rowsBetween(Window.unboundedPreceding, -1)
@@ -121,8 +117,6 @@ def with_row_number(df: DataFrame, output: str) -> DataFrame:
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
     offsets = materialize(offsets, "splits")
-    if offsets.limit(MAX_BROADCAST_SPLITS + 1).count() <= MAX_BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
     numbered = df.join(offsets, [FILE, SPLIT])
     return numbered.withColumn(output, F.col(ROW) + F.col("_shift")).drop("_shift")
 
