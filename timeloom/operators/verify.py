@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from timeloom.functions.text import match_key, quote
 from timeloom.functions.timestamps import add_asserted_instant
+from timeloom.session import materialize
 
 DEFAULT_TOLERANCE_SECONDS = 1.0
 FIELDS = ("datetime", "principal", "action", "object")
@@ -40,6 +41,7 @@ def _structural_reason() -> Column:
 
 
 def _structural_detail() -> Column:
+    # The texts of details here and below, which verdicts carry.
     return (
         F.when(
             F.col("_structural") == "malformed_citation",
@@ -124,7 +126,8 @@ def verify_claims(
     claim itself is looked at once more only to attach its verdict.
     """
     staged = add_asserted_instant(claims, F.col("asserts.datetime"), "_instant")
-    staged = staged.withColumn("_structural", _structural_reason())
+    # Written, because the cited side and the result both start from the parsed claims.
+    staged = materialize(staged.withColumn("_structural", _structural_reason()), "claims")
     cited = staged.filter(F.col("_structural").isNull()).select(
         *key, "asserts", "_instant", F.posexplode("citations").alias("_pos", "_cid")
     )
