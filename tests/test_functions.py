@@ -62,6 +62,25 @@ def test_assumed_zone_and_bad_zone(spark):
     assert "cannot parse" in bad[raws[2]][2]
 
 
+def test_less_common_forms(spark):
+    want = {
+        "Tue Jan  2 03:04:05 2024": "2024-01-02T03:04:05Z",
+        "Tue Jan 2 03:04:05 UTC 2024": "2024-01-02T03:04:05Z",
+        "01/02/24 10:00": "2024-01-02T10:00:00Z",
+        "13/02/24": "2024-02-13T00:00:00Z",
+        "1.2.99 1:05 pm": "1999-01-02T13:05:00Z",
+        "2024-01-02T03": "2024-01-02T03:00:00Z",
+        "2024-01-02T03+02:00": "2024-01-02T01:00:00Z",
+        "10:00 2024-01-02": "2024-01-02T10:00:00Z",
+        "10:00:30 PM, Jan 2, 2024": "2024-01-02T22:00:30Z",
+        "2024-01-02 03:04:05 EST": None,
+        "10:00": None,
+    }
+    df = spark.createDataFrame([(k,) for k in want], "raw string")
+    timed = add_timestamp(df, F.col("raw")).select("raw", canonical_datetime(F.col("ts")).alias("at"))
+    assert {r["raw"]: r["at"] for r in timed.collect()} == want
+
+
 def test_row_zones_are_all_usable(spark):
     from timeloom.functions.timestamps import KNOWN_ZONES
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zoneinfo
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,10 @@ _WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?"
 _DAY_NAMED = rf"(?i)^{_WEEKDAY}(\d{{1,2}})[\s-]+{_MONTH_NAME},?[\s-]+(\d{{4}})({_TAIL})$"
 _NAMED_DAY = rf"(?i)^{_WEEKDAY}{_MONTH_NAME}\s+(\d{{1,2}}),?\s+(\d{{4}})({_TAIL})$"
 
+_CTIME = rf"(?i)^{_WEEKDAY}{_MONTH_NAME}\s+(\d{{1,2}})\s+({_TIME})({_ZONE}?)\s+(\d{{4}})$"
+_TIME_FIRST = rf"(?i)^({_TIME}{_MERIDIEM}?{_ZONE}?),?\s+(\S[^:]*)$"
+_HOUR_ONLY = rf"^(\d{{4}}-\d{{1,2}}-\d{{1,2}})[Tt](\d{{1,2}})({_ZONE}?)$"
+
 _INCOMPLETE = rf"(?i)^(?:\d{{1,2}}:\d{{2}}|\d{{4}}-\d{{1,2}}$|{_MONTH_NAME}$)"
 _CLOCK = r"\d:\d{2}"
 _OFFSET_AT_END = r"(?<=\d)(Z|[+-]\d{2}:\d{2})$"
@@ -57,6 +62,34 @@ def _month_number(name: Column) -> Column:
     return position.cast("string")
 
 
+def _short_year_layouts() -> list[tuple[str, str]]:
+    """Patterns for years of two digits, which mean the one of that ending under fifty years away."""
+    now = datetime.now().year
+    by_century: dict[int, list[str]] = {}
+    for year in range(now - 50, now + 50):
+        by_century.setdefault(year // 100, []).append(f"{year % 100:02d}")
+    return [
+        (rf"^(\d{{1,2}}[-/.]\d{{1,2}}[-/.])({'|'.join(years)})({_TAIL})$", f"$1{century}$2$3")
+        for century, years in by_century.items()
+    ]
+
+
+def _date_first(text: Column) -> Column:
+    """Rewrite a time before its date, the form of ``ctime``, a bare hour, a year of two digits.
+
+    Each pattern leaves other text as it is, so the expression names its input once.
+    """
+    layouts = [
+        (_CTIME, "$1 $2 $5 $3$4"),
+        (_TIME_FIRST, "$2 $1"),
+        (_HOUR_ONLY, "$1T$2:00$3"),
+        *_short_year_layouts(),
+    ]
+    for pattern, layout in layouts:
+        text = F.regexp_replace(text, pattern, layout)
+    return text
+
+
 def _year_month_day(text: Column) -> Column:
     """The text with its date in year-month-day order, or null for no full date."""
 
@@ -157,7 +190,8 @@ def add_timestamp(
         df.withColumn("_zone", zone)
         .withColumn("_raw_time", raw)
         .withColumn("_trimmed_time", strip(F.col("_raw_time")))
-        .withColumn("_time_text", _year_month_day(F.col("_trimmed_time")))
+        .withColumn("_time_text", _date_first(F.col("_trimmed_time")))
+        .withColumn("_time_text", _year_month_day(text))
         .withColumn("_time_text", _twenty_four_hours(text))
         .withColumn("_time_text", _tidy_zone(text))
         .withColumn(
