@@ -57,15 +57,8 @@ TECHNIQUES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One with fewer splits than there are cores is spread by its key.
-
-    A table of many files is left as it is read: spreading it would only add a shuffle.
-    """
-    df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, df.columns[0])
-    return df
+    """A given table, as its files are split."""
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def by_value(key: Column, options: dict[str, str]) -> Column:

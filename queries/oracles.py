@@ -9,12 +9,18 @@ from __future__ import annotations
 from queries.inputs import TACTICS, TARGETS, TECHNIQUES
 from timeloom.functions.indicators import FILE_EXTENSIONS
 from timeloom.schema import DEFAULT_NAMESPACES as NS
+from timeloom.schema import TIMESTAMP_DESCS
 
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def _quoted(values) -> str:
+    """A Python list as text, inside a quoted SQL string."""
+    return str(list(values)).replace("'", "''")
+
+
 def _target(index: str) -> str:
     cases = " ".join(f"WHEN {i} THEN {_text(t)}" for i, t in enumerate(TARGETS))
     return f"CASE {index} {cases} END"
@@ -98,8 +104,11 @@ parted AS (
     OVER (PARTITION BY host, run ORDER BY ts, event_id) AS part FROM handed),
 episodes AS (
   SELECT host, run, part,
-    'EP-' || left(sha256('{NS.episode}' || chr(10)
-      || string_agg(event_id, chr(10) ORDER BY event_id)), 12) AS episode_id,
+    'EP-' || left(sha256('{NS.episode}' || chr(10) || count(*) || chr(10)
+      || sum(('0x' || substr(event_id, 1, 15))::UBIGINT) || chr(10)
+      || sum(('0x' || substr(event_id, 16, 15))::UBIGINT) || chr(10)
+      || sum(('0x' || substr(event_id, 31, 15))::UBIGINT) || chr(10)
+      || sum(('0x' || substr(event_id, 46, 15))::UBIGINT)), 12) AS episode_id,
     min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS event_count,
     coalesce(first(principal ORDER BY ts, event_id) FILTER (WHERE account IS NOT NULL),
       first(principal ORDER BY ts, event_id) FILTER (WHERE principal IS NOT NULL)) AS principal
@@ -404,6 +413,24 @@ SELECT 2 * count(*) - count(DISTINCT id) AS duplicates FROM windows""",
     "detection_csv_scan": _DETECTION_MAPPING,
     "detection_jsonl_scan": _DETECTION_MAPPING,
     "detection_json_stream_scan": _DETECTION_MAPPING,
+    "mixed_folder_scan": _DETECTION_MAPPING,
+    "problem_rows": f"""WITH numbered AS (SELECT event_id, event_id % 12 AS kind,
+  'could not build a canonical event: ' AS lead FROM events WHERE event_id % 12 > 0)
+SELECT event_id AS row, CASE WHEN kind IN (5, 11) THEN 'toolbox' ELSE 'generic_csv' END AS source_tool,
+  CASE WHEN kind IN (1, 9) THEN lead || 'timestamp_raw must be a non-empty string'
+    WHEN kind IN (2, 10) THEN lead || 'message must be a non-empty string'
+    WHEN kind = 3 THEN lead || 'source_artifact must be a non-empty string'
+    WHEN kind = 4 THEN lead || 'timestamp_desc must be one of {_quoted(TIMESTAMP_DESCS)}, got ''guessed'''
+    WHEN kind IN (5, 11) THEN 'no mapper registered for source_tool ''toolbox'''
+    WHEN kind = 6 THEN lead || 'action must be a snake_case verb like process_create, got ''Not a verb'''
+    WHEN kind = 7 THEN lead || 'confidence must be between 0 and 1'
+    ELSE lead || 'raw_ref must name a file and a record' END AS reason
+FROM numbered""",
+    "catalog_bundle": """SELECT 'T' || c_custkey AS technique_id,
+  CASE WHEN c_custkey % 50 = 0 THEN c_custkey % 100 = 0 ELSE last.key IS NULL END AS deprecated,
+  CASE WHEN c_custkey % 50 <> 0 THEN 'T' || last.key END AS revoked_by
+FROM customer LEFT JOIN (SELECT c_custkey AS key FROM customer WHERE c_custkey % 50 = 0) last
+  ON last.key = c_custkey - c_custkey % 50 + 50""",
     "kv_parse": """SELECT c_custkey, 'again:' || c_custkey AS name, 'C:\\x\\' || c_mktsegment AS path,
   2 AS pairs FROM customer""",
     "multi_value": """SELECT c_custkey,
@@ -425,6 +452,10 @@ SELECT t.position, t.tactic_id, t.tactic, c.technique_id, k.display AS name, c.c
 FROM counted c JOIN catalog k ON k.technique_id = c.technique_id
   AND NOT k.deprecated AND k.revoked_by IS NULL
 JOIN places p ON p.technique_id = c.technique_id JOIN tactics t ON t.shortname = p.shortname""",
+    "technique_layer": f"""WITH {ALL_TAGGED}
+SELECT c.technique_id, k.display AS name, c.count AS score, max(c.count) OVER () AS highest
+FROM counted c JOIN catalog k ON k.technique_id = c.technique_id
+  AND NOT k.deprecated AND k.revoked_by IS NULL""",
     "unmapped_techniques": f"""WITH {ALL_TAGGED}
 SELECT c.technique_id, CASE WHEN k.technique_id IS NULL THEN 'unknown' ELSE 'deprecated' END AS status,
   c.count FROM counted c LEFT JOIN catalog k ON k.technique_id = c.technique_id
@@ -493,6 +524,25 @@ SELECT sum(total) FILTER (WHERE NOT expect_accept)::BIGINT AS fabrications,
     "citation_accuracy": f"""WITH {TIMELINE}
 SELECT 1.0::DOUBLE AS citation_accuracy, count(*) AS accurate_claims, count(*) AS emitted_claims
 FROM timeline""",
+    "technique_scores": f"""WITH {TAGGED},
+rules AS (SELECT DISTINCT host, CAST(row_id AS VARCHAR) AS record, technique FROM tagged
+  WHERE technique IS NOT NULL),
+predicted AS (SELECT 'table_only' AS scope, * FROM rules
+  UNION ALL SELECT 'end_to_end', * FROM rules
+  UNION ALL SELECT 'end_to_end', host, CAST(row_id AS VARCHAR), 'T1005' FROM tagged
+    WHERE action = 'account_create'),
+labels AS (SELECT 'HOST-' || (user_id % 3) AS host, CAST(event_id AS VARCHAR) AS record,
+  CASE event_type WHEN 'signup' THEN 'T1136' WHEN 'purchase' THEN 'T1543.003' ELSE 'T1005' END
+  AS technique FROM events WHERE event_type IN ('signup', 'purchase', 'view')),
+expected AS (SELECT scope, labels.* FROM labels, (VALUES ('table_only'), ('end_to_end')) s(scope)),
+judged AS (SELECT coalesce(p.scope, e.scope) AS scope, p.scope IS NOT NULL AS said, e.scope IS NOT NULL AS so
+  FROM predicted p FULL JOIN expected e ON p.scope = e.scope AND p.host = e.host
+    AND p.record = e.record AND p.technique = e.technique)
+SELECT scope, count(*) FILTER (said AND so) / count(*) FILTER (said) AS precision,
+  count(*) FILTER (said AND so) / count(*) FILTER (so) AS recall,
+  count(*) FILTER (said AND so) AS true_positives, count(*) FILTER (said AND NOT so) AS false_positives,
+  count(*) FILTER (so AND NOT said) AS false_negatives
+FROM judged GROUP BY scope""",
     "score_sets": f"""WITH {TAGGED},
 predicted AS (SELECT DISTINCT host, CAST(row_id AS VARCHAR) AS record, technique FROM tagged
   WHERE technique IS NOT NULL),

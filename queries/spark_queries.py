@@ -15,7 +15,7 @@ from timeloom.operators import episodes, indicators, normalize, rounds, scoring,
 from timeloom.operators.verify import verify_claims
 from timeloom.plans import evaluate, outputs, report
 from timeloom.plans.case import Case, case_from_events
-from timeloom.schema import DEFAULT_NAMESPACES
+from timeloom.schema import DEFAULT_NAMESPACES, TECHNIQUES
 from timeloom.session import materialize, prepare, shared_folder
 from timeloom.sources import (
     chainsaw,
@@ -28,6 +28,7 @@ from timeloom.sources import (
     plaso,
     velociraptor,
 )
+from timeloom.sources import catalog as catalog_source
 from timeloom.sources.common import reference, table_position
 
 
@@ -164,6 +165,26 @@ def detection_json_stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped_columns(hayabusa.map_rows(hayabusa.read(spark, path)))
 
 
+def mixed_folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder whose files hold JSON lines, one array each, or objects one after the other."""
+    prepare(spark)
+    path = _new_folder(spark, "mixed")
+    export = I.detections(spark, sf_dir).drop("source_artifact_file", "EvtxFile")
+    export = export.withColumn("EvtxFile", F.lit("D:/case/Detections.evtx"))
+    names = [c for c in export.columns if c != "event_id"]
+    text = F.to_json(F.struct(*names))
+    kind = F.col("event_id") % 3
+    spread = F.concat(F.lit("{\n"), F.substr(text, F.lit(2)))
+    lines = export.filter(kind == 0).select(text.alias("value"), F.lit("lines").alias("form"))
+    objects = export.filter(kind == 1).select(spread.alias("value"), F.lit("objects").alias("form"))
+    number = (F.col("event_id") % 17).cast("string")
+    arrays = export.filter(kind == 2).groupBy(F.concat(F.lit("array-"), number).alias("form"))
+    joined = F.concat(F.lit("[\n"), F.array_join(F.collect_list(text), ",\n"), F.lit("\n]"))
+    for part in (lines, objects, arrays.agg(joined.alias("value"))):
+        part.write.partitionBy("form").mode("append").text(path)
+    return _mapped_columns(hayabusa.map_rows(hayabusa.read_timeline_json(spark, path)))
+
+
 def _log_fields() -> Column:
     user = F.concat(F.lit("svc"), (F.col("user_id") % 5).cast("string"))
     pairs = {
@@ -246,7 +267,7 @@ def detection_document_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
         table_position(F.col("event_id")).alias("ord"),
     )
     rows = normalize.normalize(chainsaw.map_rows(raw)).events
-    tagged = tagging.tag_events(rows, {})
+    tagged = tagging.tag_events(rows)
     return tagged.select(
         "event_id",
         "message",
@@ -448,6 +469,32 @@ def multi_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- enrichment -----------------------------------------------------------------------
 
 
+def problem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reject table: every rule broken by some rows, and two at once, which shows their order."""
+    raw = generic.from_table(I.export(spark, sf_dir), I.TIMELINE_MAP, "event_id", "events")
+    mapped = generic.map_rows(raw, I.TIMELINE_MAP)
+    kind = F.col("ord.row") % 12
+
+    def broken(name: str, kinds: tuple[int, ...], value: Column) -> Column:
+        return F.when(kind.isin(*kinds), value).otherwise(F.col(name)).alias(name)
+
+    changed = {
+        "timestamp_raw": broken("timestamp_raw", (1, 9), F.lit(" ")),
+        "message": broken("message", (2, 9, 10), F.lit("\t")),
+        "source_artifact": broken("source_artifact", (3,), F.lit("")),
+        "timestamp_desc": broken("timestamp_desc", (4,), F.lit("guessed")),
+        "source_tool": broken("source_tool", (5, 11), F.lit("toolbox")),
+        "action": broken("action", (6, 11), F.lit("Not a verb")),
+        "confidence": broken("confidence", (7, 10), F.lit(1.5)),
+        "raw_ref": broken(
+            "raw_ref", (8,), F.struct(F.lit("events").alias("source_file"), F.lit("").alias("record"))
+        ),
+    }
+    rows = normalize.to_events(mapped.select(*[changed.get(c, F.col(c)) for c in mapped.columns]))
+    problems = normalize.problem_rows(materialize(rows, "problem-rows"))
+    return problems.select(F.col("ord.row").alias("row"), "source_tool", "reason")
+
+
 def episodes_gap_handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = episodes.cluster(I.timeline(spark, sf_dir))
     return found.select("episode_id", "host", "principal", "start", "end", "event_count")
@@ -459,7 +506,7 @@ def episode_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = tagging.tag_events(I.timeline_rows(spark, sf_dir).events, {})
+    tagged = tagging.tag_events(I.timeline_rows(spark, sf_dir).events)
     return tagged.select(
         "event_id", _joined(views.technique_ids(F.col("attack_techniques"))).alias("techniques")
     )
@@ -491,6 +538,19 @@ def technique_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.technique_matrix(_tagged(spark, sf_dir), I.seed_catalog(spark))
 
 
+def technique_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of the layer file, written and read back."""
+    path = _new_folder(spark, "layer")
+    outputs.write_layer(_tagged(spark, sf_dir), I.seed_catalog(spark), "events", path)
+    entry = "techniqueID string, score bigint, comment string, enabled boolean"
+    layer = F.from_json("value", f"techniques array<struct<{entry.replace(' ', ':').replace(',:', ', ')}>>, gradient struct<maxValue:bigint>")
+    read = spark.read.text(path).select(layer.alias("layer"))
+    rows = read.select(F.explode("layer.techniques").alias("t"), F.col("layer.gradient.maxValue").alias("highest"))
+    return rows.select(
+        F.col("t.techniqueID").alias("technique_id"), F.col("t.comment").alias("name"), F.col("t.score").alias("score"), "highest"
+    )
+
+
 def unmapped_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.unmapped_techniques(_tagged(spark, sf_dir), I.seed_catalog(spark))
 
@@ -547,7 +607,7 @@ def severity_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def view_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = tagging.tag_events(I.timeline(spark, sf_dir), {})
+    tagged = tagging.tag_events(I.timeline(spark, sf_dir))
     shown = views.select_view(tagged, views.DEFAULT_BUDGET)
     return shown.withColumn("techniques", _joined(F.col("techniques")))
 
@@ -715,8 +775,63 @@ def _expected_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.col("technique_id").isNotNull())
 
 
+def technique_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags as they are beside the inference rules alone."""
+    events = I.timeline(spark, sf_dir)
+    wrong = F.col("action") == "account_create"
+    extra = F.array(
+        F.struct(
+            F.lit("T1005").alias("technique_id"),
+            F.lit("rule_tag").alias("mapping_source"),
+            F.lit(None).cast("string").alias("source_id"),
+        )
+    )
+    tagged = tagging.tag_events(events)
+    shown = F.when(wrong, F.concat("attack_techniques", extra.cast(TECHNIQUES)))
+    tagged = tagged.withColumn("attack_techniques", shown.otherwise(F.col("attack_techniques")))
+    scored = evaluate.technique_scores(tagged, _expected_labels(spark, sf_dir), None)
+    return scored.drop("false_positive_examples")
+
+
+def catalog_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle of one technique per customer, most of them revoked by the next one."""
+    key = F.col("c_custkey")
+    customers = I.table(spark, sf_dir, "customer").select("c_custkey")
+    number = F.concat(F.lit("T"), key.cast("string"))
+    revoked = key % 50 != 0
+    pattern = F.struct(
+        F.concat(F.lit("p"), key.cast("string")).alias("id"),
+        F.lit("attack-pattern").alias("type"),
+        F.concat(F.lit("Name "), number).alias("name"),
+        revoked.alias("revoked"),
+        (key % 100 == 0).alias("x_mitre_deprecated"),
+        F.array(F.struct(F.lit("mitre-attack").alias("source_name"), number.alias("external_id"))).alias("external_references"),
+    )
+    link = F.struct(
+        F.concat(F.lit("r"), key.cast("string")).alias("id"),
+        F.lit("relationship").alias("type"),
+        F.lit("revoked-by").alias("relationship_type"),
+        F.concat(F.lit("p"), key.cast("string")).alias("source_ref"),
+        F.concat(F.lit("p"), (key + 1).cast("string")).alias("target_ref"),
+    )
+    objects = customers.select(F.to_json(pattern).alias("o")).unionByName(
+        customers.filter(revoked).select(F.to_json(link).alias("o"))
+    )
+    fixed = (
+        '{"id":"c","type":"x-mitre-collection","x_mitre_version":"1"},'
+        '{"id":"m","type":"x-mitre-matrix","tactic_refs":["t"]},'
+        '{"id":"t","type":"x-mitre-tactic","name":"One","x_mitre_shortname":"a",'
+        '"external_references":[{"source_name":"mitre-attack","external_id":"TA1"}]},'
+    )
+    path = _new_folder(spark, "bundle")
+    body = F.concat(F.lit('{"objects":[' + fixed), F.array_join(F.collect_list("o"), ","), F.lit("]}"))
+    objects.agg(body.alias("value")).write.text(path)
+    techniques = catalog_source.read_bundle(spark, path).techniques
+    return techniques.select("technique_id", "deprecated", "revoked_by")
+
+
 def score_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = tagging.tag_events(I.timeline(spark, sf_dir), {})
+    tagged = tagging.tag_events(I.timeline(spark, sf_dir))
     scored = scoring.score(scoring.predictions(tagged), _expected_labels(spark, sf_dir))
     return scored.withColumn(
         "false_positive_examples", _joined(F.col("false_positive_examples"), ";")
@@ -838,6 +953,11 @@ QUERIES = {
     "benchmark_summary": benchmark_summary,
     "citation_accuracy": citation_accuracy,
     "score_sets": score_sets,
+    "catalog_bundle": catalog_bundle,
+    "technique_scores": technique_scores,
+    "technique_layer": technique_layer,
+    "problem_rows": problem_rows,
+    "mixed_folder_scan": mixed_folder_scan,
     "stats": stats,
     "findings": findings,
     "notable_capped": notable_capped,

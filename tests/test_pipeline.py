@@ -92,7 +92,7 @@ def test_report_tables(case):
 
 
 def test_layer_and_files(spark, case, tmp_path):
-    layer = outputs.technique_layer(case.events, case.catalog, "demo")
+    layer = json.loads(outputs.technique_layer(case.events, case.catalog, "demo").first()["value"])
     assert [(t["techniqueID"], t["score"]) for t in layer["techniques"]] == [
         ("T1059.001", 1), ("T1685.005", 1),
     ]
@@ -142,8 +142,10 @@ def test_tampered_events_are_refused(spark, case, tmp_path):
 
 
 def test_benchmark_misjudges_nothing(case):
-    metrics = evaluate.evaluate(case)
-    bench = metrics["verifier_benchmark"]
+    found = evaluate.evaluate(case)
+    bench = found.metrics["verifier_benchmark"]
+    assert bench["false_accepts"] == bench["false_rejects"] == found.misjudged.count() == 0
+    assert found.metrics["attack"]["techniques_observed"] == case.technique_ids().count()
     assert bench["passed"] and bench["unexpected_reasons"] == 0
     assert bench["fabrications"] == bench["fabrications_rejected"] > 0
     assert bench["grounded"] == bench["grounded_accepted"] == 3 * 8
@@ -165,6 +167,8 @@ def test_benchmark_catches_a_blind_verifier(case):
     judged = evaluate.run_benchmark(case.events, blind)
     classes = {r["kind"]: r for r in evaluate.benchmark_classes(judged).collect()}
     assert classes["object_swap"]["correct"] < classes["object_swap"]["total"]
+    wrong = sum(r["total"] - r["correct"] for r in classes.values())
+    assert evaluate.misjudged(judged).count() == wrong
 
 
 def _brute_partner(events, event):
@@ -273,13 +277,15 @@ def test_rounds(spark, case):
     assert single.audit.filter("NOT dropped").count() == 0
 
 
-def test_tagging_is_idempotent_and_table_only_ignores_rule_tags(case):
-    once = tagging.tag_events(case.events, {"T1070.001": "T1685.005"})
+def test_tagging_is_idempotent_and_table_only_ignores_rule_tags(spark, case):
+    once = tagging.tag_events(
+        case.events, spark.createDataFrame([("T1070.001", "T1685.005")], "technique_id string, revoked_by string")
+    )
     same = once.select("event_id", "attack_techniques").collect()
     before = {r["event_id"]: r["attack_techniques"] for r in case.events.select("event_id", "attack_techniques").collect()}
     assert {r["event_id"]: r["attack_techniques"] for r in same} == before
     bare = case.events.withColumn("attack_techniques", F.array().cast(case.events.schema["attack_techniques"].dataType))
-    table = tagging.tag_events(bare, {}, use_rule_tags=False)
+    table = tagging.tag_events(bare, use_rule_tags=False)
     ids = {r["action"]: [t["technique_id"] for t in r["attack_techniques"]] for r in table.collect()}
     assert ids["process_create"] == ["T1059.001"] and ids["service_install"] == ["T1543.003"]
 

@@ -245,10 +245,23 @@ def test_catalog_bundle(spark, tmp_path):
     rows = {r["technique_id"]: r for r in cat.techniques.collect()}
     assert rows["T1000.001"]["display_name"] == "NT1000: NT1000.001"
     assert rows["T1000"]["tactics"] == ["a", "b"] and rows["T1003"]["deprecated"]
-    assert cat.successors() == {"T1001": "T1000.001", "T1002": "T1000.001"}
+    assert dict(map(tuple, cat.successors().collect())) == {"T1001": "T1000.001", "T1002": "T1000.001"}
     assert rows["T1004"]["deprecated"] and rows["T1004"]["revoked_by"] is None
 
 
+def test_revocation_chains_of_any_length(spark):
+    ids = [f"p{i}" for i in range(41)]
+    patterns = spark.createDataFrame(
+        [(i, i != ids[-1]) for i in ids] + [("x", True), ("y", True), ("z", True)], "id string, revoked boolean"
+    )
+    links = list(zip(ids, ids[1:])) + [("x", "y"), ("y", "x"), ("z", "unknown")]
+    revocations = spark.createDataFrame(
+        [(a, b, n) for n, (a, b) in enumerate(links)], "source_ref string, target_ref string, _order int"
+    )
+    found = catalog_source.final_successors(patterns, revocations).collect()
+    assert sorted(map(tuple, found)) == sorted((i, ids[-1]) for i in ids[:-1])
+
+
 def test_labels(spark, tmp_path):
     text = json.dumps({"events": [{"computer": "h", "record_id": "1", "technique_ids": ["T1", "T2"]}]})
     rows = labels.read(spark, _write(tmp_path, "l.json", text)).collect()
