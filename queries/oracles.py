@@ -558,6 +558,14 @@ SELECT tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, tp AS true_positiv
   (SELECT string_agg(host || ' ' || record || ' ' || technique, ';' ORDER BY host, record, technique)
    FROM (SELECT * FROM predicted EXCEPT SELECT * FROM expected ORDER BY ALL LIMIT 5))
   AS false_positive_examples FROM counts""",
+    "analyze_mixed": f"""WITH {WINDOWS}, {TIMELINE},
+counts AS (SELECT (SELECT count(*) FROM events) AS n,
+  (SELECT count(*) FROM events WHERE event_id % 7 = 0) AS problems,
+  (SELECT count(DISTINCT id) FROM windows)
+    + (SELECT count(DISTINCT id) FROM named WHERE row_id % 7 <> 0) AS events)
+SELECT input, source, file, n AS records, events, problems, 3 * n - problems - events AS duplicates
+FROM counts, (VALUES (0, 'hayabusa', 'timeline.jsonl'), (1, 'generic_csv', 'export'),
+  (2, 'hayabusa', 'timeline.jsonl')) given(input, source, file)""",
     "stats": f"""WITH {EPISODES}, {_indicators(_EVENT_TEXTS)},
 tagged AS (SELECT *, {RULES} AS technique FROM timeline), {_CATALOG}, {_PLACES}
 SELECT (SELECT count(*) FROM timeline) AS events,

@@ -14,7 +14,7 @@ from timeloom.functions.timestamps import add_timestamp, canonical_datetime
 from timeloom.operators import episodes, indicators, normalize, rounds, scoring, tagging, views
 from timeloom.operators.verify import verify_claims
 from timeloom.plans import evaluate, outputs, report
-from timeloom.plans.case import Case, case_from_events
+from timeloom.plans.case import Case, EvidenceInput, analyze, case_from_events
 from timeloom.schema import DEFAULT_NAMESPACES, TECHNIQUES
 from timeloom.session import materialize, prepare, shared_folder
 from timeloom.sources import (
@@ -853,6 +853,35 @@ def _case(spark: SparkSession, sf_dir: str) -> Case:
     )
 
 
+def analyze_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from files: JSON lines, a mapped CSV with unusable times, the first again."""
+    prepare(spark)
+    path = _new_folder(spark, "mixed-case")
+    lines, table = f"{path}/timeline.jsonl", f"{path}/export"
+    _json_objects(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).write.text(lines)
+    bad = F.col("event_id") % 7 == 0
+    export = I.export(spark, sf_dir).drop("props")
+    export = export.withColumn("when", F.when(bad, F.lit("some time")).otherwise(F.col("when")))
+    export.write.option("header", True).option("quote", '"').option("escape", '"').csv(table)
+    found = analyze(
+        spark,
+        [
+            EvidenceInput("hayabusa", lines),
+            EvidenceInput("generic_csv", table, I.TIMELINE_MAP, multi_line=False),
+            EvidenceInput("Hayabusa", lines),
+        ],
+        "mixed",
+        I.seed_catalog(spark),
+    )
+    duplicates = normalize.duplicate_count(found.provenance, found.events)
+    totals = (
+        found.events.agg(F.count("*").alias("events"))
+        .join(found.problems.agg(F.count("*").alias("problems")))
+        .join(duplicates)
+    )
+    return found.inputs.select("input", "source", "file", "records").join(totals)
+
+
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.stats(_case(spark, sf_dir)).drop("records_read")
 
@@ -958,6 +987,7 @@ QUERIES = {
     "technique_layer": technique_layer,
     "problem_rows": problem_rows,
     "mixed_folder_scan": mixed_folder_scan,
+    "analyze_mixed": analyze_mixed,
     "stats": stats,
     "findings": findings,
     "notable_capped": notable_capped,
