@@ -16,7 +16,7 @@ from timeloom.operators.verify import verify_claims
 from timeloom.plans import evaluate, outputs, report
 from timeloom.plans.case import Case, EvidenceInput, analyze, case_from_events
 from timeloom.schema import DEFAULT_NAMESPACES, TECHNIQUES
-from timeloom.session import materialize, prepare, shared_folder
+from timeloom.session import materialize, new_path, prepare
 from timeloom.sources import (
     chainsaw,
     claims,
@@ -37,9 +37,7 @@ def _joined(values: Column, separator: str = "|") -> Column:
 
 
 def _new_folder(spark: SparkSession, label: str) -> str:
-    import uuid
-
-    return f"{shared_folder(spark).rstrip('/')}/timeloom/{label}-{uuid.uuid4().hex}"
+    return new_path(spark, label)
 
 
 # --- identity, timestamps, duplicates -------------------------------------------------

@@ -325,3 +325,13 @@ def test_details_of_loaded_events_keep_their_lists(case):
     assert {tuple(r["t"] or ()) for r in tags.collect()} == {
         ("T1059.001", "T1070.001"), ("T1043", "T9999"), (),
     }
+
+
+def test_release_deletes_what_was_written(spark, tmp_path, monkeypatch):
+    from timeloom import session
+
+    monkeypatch.setattr(session, "run_folder", lambda _: str(tmp_path / "run"))
+    kept = session.materialize(spark.range(3).toDF("n"), "probe")
+    assert kept.count() == 3 and list((tmp_path / "run").iterdir())
+    session.release(spark)
+    assert not (tmp_path / "run").exists()

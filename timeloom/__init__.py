@@ -1,6 +1,6 @@
 """Timeloom: evidence timelines as Spark DataFrames."""
 
 from timeloom.plans.case import Case, EvidenceInput, analyze, case_from_events
-from timeloom.session import prepare
+from timeloom.session import prepare, release
 
-__all__ = ["Case", "EvidenceInput", "analyze", "case_from_events", "prepare"]
+__all__ = ["Case", "EvidenceInput", "analyze", "case_from_events", "prepare", "release"]

@@ -38,13 +38,29 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder inside the shared one that holds all that this application writes for itself."""
+    return f"{shared_folder(spark).rstrip('/')}/timeloom/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the run folder that nothing has been written to."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage.
 
     Later readers get a columnar scan with pruning, and a lost executor costs a
-    re-read instead of a re-run of everything upstream.
+    re-read instead of a re-run of everything upstream. The copy stays until ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/timeloom/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written for itself; tables read from it are void then."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
