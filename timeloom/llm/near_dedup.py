@@ -107,7 +107,8 @@ def find_near_duplicates(
         ),
         "classes",
     )
-    found = components(_links(docs, classes, shingle, percent))
+    # Written first: else two Python workers would run in each task.
+    found = components(stage(_links(docs, classes, shingle, percent), "links"))
     label = F.coalesce("component", "class").alias("component_id")
     # Two classes have the same least doc_id only if a doc_id is repeated with other text.
     named = classes.join(found, F.col("class") == F.col("node"), "left").select("set_key", label, "members")
@@ -227,14 +228,14 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
     for batch in batches:
         keys = zip(*(batch.column(n).to_pylist() for n in ("cluster", "left", "right")), strict=True)
-        for key, own, raw in zip(keys, batch.column("class").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+        for key, own, raw in zip(keys, batch.column("class").to_pylist(), batch.column("shingles"), strict=True):
             if key != unit:
                 done += find_links(ids, sets, percent)
                 unit, ids, sets = key, [], []
                 if len(done) > 10_000:
                     yield out()
             ids.append(own)
-            sets.append(np.frombuffer(raw, np.uint64))
+            sets.append(np.frombuffer(raw.as_py(), np.uint64))
     done += find_links(ids, sets, percent)
     yield out()
 

@@ -15,7 +15,7 @@ from timeloom.llm.common import stage
 from timeloom.llm.words import slices, text_bytes
 
 #: Words that a worker's cache holds; the older half is let go when it is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 450_000
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _encoders: dict[str, WordEncoder | TextEncoder] = {}
 
@@ -30,6 +30,9 @@ class TextEncoder:
         found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(found, "<u4").tobytes()
 
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        return [self.ids(t) for t in texts]
+
 
 class WordEncoder(TextEncoder):
     """Ids of texts from the ids of their words, where white space only separates words.
@@ -49,43 +52,45 @@ class WordEncoder(TextEncoder):
         self.old: dict[bytes, bytes] = {}
 
     def ids(self, text: bytes) -> bytes:
-        if any(s in text for s in self.special):
-            return super().ids(text)
-        words = text.lower().split()
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            self._learn(set(words))
-            return b"".join(map(self.young.__getitem__, words))
-
-    def learn(self, texts: list[bytes]) -> None:
-        """Put the words of many texts into the cache at once."""
-        self._learn(set().union(*(t.lower().split() for t in texts)))
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of many texts; their new words are encoded together."""
+        words = [t.lower().split() for t in texts]
+        self._learn(set().union(*words))
+        known = self.young.__getitem__
+        out = [b"".join(map(known, w)) for w in words]
+        for special in self.special:
+            for i, text in enumerate(texts):
+                if special in text:
+                    out[i] = TextEncoder.ids(self, text)
+        return out
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.young) > CACHE_WORDS // 2:
             self.old, self.young = self.young, {}
         words = words.difference(self.young)
-        known, stems, letters, others = self.old, {}, [], []
+        young, known, whole, stems = self.young, self.old, set(), {}
         for word in words:
             if word in known:
-                self.young[word] = known[word]
+                young[word] = known[word]
                 continue
             stem = word.rstrip(_PUNCTUATION)
-            if not stem or not _letter_or_digit(stem):
-                stem = word
-            stems[word] = stem
-        wanted = set(stems.values()) | {w[len(s) :] for w, s in stems.items() if len(s) < len(w)}
-        for stem in wanted:
-            if stem not in self.young:
-                (letters if stem.isalpha() or stem.decode("utf-8", "replace").isalpha() else others).append(stem)
+            if len(stem) < len(word) and stem and _letter_or_digit(stem):
+                stems[word] = stem
+                whole.add(stem)
+                whole.add(word[len(stem) :])
+            else:
+                whole.add(word)
+        letters, others = [], []
+        for word in whole.difference(young):
+            plain = word.isalpha() or (not word.isascii() and word.decode("utf-8", "replace").isalpha())
+            (letters if plain else others).append(word)
         for first in range(0, len(letters), 4096):
             self._encode_letters(letters[first : first + 4096])
         self._encode_each(others)
-        young = self.young
         for word, stem in stems.items():
-            if len(stem) < len(word):
-                young[word] = young[stem] + young[word[len(stem) :]]
+            young[word] = young[stem] + young[word[len(stem) :]]
 
     def _encode_letters(self, words: list[bytes]) -> None:
         joined = b" ".join(words).decode("utf-8", "replace")
@@ -144,11 +149,9 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> Dat
         for batch in batches:
             for piece in slices(batch, "text"):
                 data, offsets = text_bytes(piece.column("text"))
-                raw, bounds = data.tobytes(), offsets.tolist()
-                texts = [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-                if isinstance(encode, WordEncoder):
-                    encode.learn(texts)
-                ids = [encode.ids(t) + tail for t in texts]
+                bounds = offsets.tolist()
+                texts = [data[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+                ids = [found + tail for found in encode.ids_of(texts)]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
