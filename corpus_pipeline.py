@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from timeloom.llm import decontaminate, exact_dedup, near_dedup, packing, queries, toxicity
-from timeloom.session import shared_folder
+from timeloom.session import new_path
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written and read by the next."""
-    folder = f"{shared_folder(spark).rstrip('/')}/timeloom/pipeline-{uuid.uuid4().hex}"
+    folder = new_path(spark, "pipeline")
     docs = queries.table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}-{name}")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.session import shared_folder
+from timeloom.session import new_path
 
 #: A key is heavy if it has more than this share of all rows, so there are at most 1000.
 HEAVY_SHARE = 1000
@@ -16,7 +14,7 @@ HEAVY_SHARE = 1000
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the folder all executors share and read it back, cutting its lineage."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/timeloom/llm-{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, f"llm-{label}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
