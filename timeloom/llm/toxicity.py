@@ -33,7 +33,7 @@ THRESHOLD = 0.3
 MIN_EVIDENCE, MIN_WEIGHT = 24.0, 1.5
 SHORTEST_STEM, LONGEST_STEM = 3, 9
 #: Phrases that hold a term in a harmless sense.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "not stupid", "not worthless", "sore loser rule")
+EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "not stupid", "not worthless")
 
 _LOOK_ALIKES = {
     **dict(zip("аеорсухіјѕһԁӏкмтвнг", "aeopcyxijshdlkmtbhr", strict=True)),
