@@ -151,3 +151,29 @@ def test_queries_pack_the_whole_table(spark):
             assert [o for o, _ in parts] == np.cumsum([0, *[n for _, n in parts[:-1]]]).tolist()
             assert sum(n for _, n in parts) <= 4096
         assert sum(n for p in rows_.values() for _, n in p) / (4096 * len(rows_)) > 0.95
+
+
+def test_binary_packing_reports_the_matrix_it_has_written(spark):
+    from pathlib import Path
+
+    from timeloom.session import run_folder
+
+    before = set(Path(run_folder(spark)).glob("llm-matrix-*"))
+    got = {(r.sequence_id, r.offset): r for r in queries.op2_binary_packing(spark, "/root/testdata/sf0.001").collect()}
+    (made,) = set(Path(run_folder(spark)).glob("llm-matrix-*")) - before
+    seen = 0
+    for r in spark.read.parquet(str(made)).collect():
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == 4096 and len(r.positions) == 4 * 4096
+        for begin, end, s in zip(r.cu_seqlens, r.cu_seqlens[1:], r.segments, strict=False):
+            told = got[r.sequence_id, begin]
+            assert (told.doc_id, told.start, told.length) == (s.doc_id, s.start, s.length) and end - begin == s.length
+            assert zlib.crc32(ids[begin:end].tobytes()) == told.ids_crc32
+            seen += 1
+    assert seen == len(got)
+
+
+def test_packed_rows_want_whole_rows(spark):
+    pieces = binary_packing.pack(rows(spark, TEXTS), WORDS, capacity=32)
+    with pytest.raises(Exception, match="next to each other"):
+        binary_packing.packed_rows(pieces.filter("offset > 0"), 32).collect()

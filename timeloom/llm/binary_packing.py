@@ -1,7 +1,7 @@
 """Best-fit-decreasing packing of token ids into rows of a fixed capacity, and packed files.
 
 Documents longer than the capacity are cut into full rows and a rest. Rests are dealt by a
-hash into shards of a bounded number of pieces; each shard sorts its pieces by length and
+hash into shards of a bounded number of pieces and ids; each shard sorts its pieces by length and
 puts each into the open row with the least room that still takes it. A segment tree over
 the possible rooms finds that row in a logarithmic number of steps.
 """
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,12 @@ CAPACITY = 4096
 END_ID = 2
 #: Pieces that one task packs; more pieces make more shards.
 SHARD_PIECES = 200_000
+#: Ids that one task packs, about: it holds its pieces with their ids (64 MB, or half).
+SHARD_IDS = 1 << 24
+#: Pieces in a batch that a task gives out.
+OUT_ROWS = 1024
+#: Rows of the matrix in a batch.
+OUT_MATRIX_ROWS = 128
 
 
 class Rooms:
@@ -80,19 +87,20 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """Pieces of documents placed in rows of at most ``capacity`` ids.
 
     Reads ``doc_id`` and ``text``; other columns are ignored. Returns one row per piece:
-    doc_id, start, length, doc_tokens, sequence_id, offset (gapless from 0), piece (a unique
-    number) and ``ids``. A null or empty text has the end id alone; a null doc_id stays null;
-    repeated rows are packed once each; equal lengths are placed by piece number; an empty
-    table gives no rows. ``sequence_id`` is shard * 2**32 + the row's number in its shard.
+    doc_id, start, length, doc_tokens, piece (a unique number), ``ids``, sequence_id and offset
+    (gapless from 0). The pieces of a packed row are neighbours, in order. A null or empty text
+    has the end id alone; a null doc_id stays null; repeated rows are packed once each; equal
+    lengths are placed by piece number; an empty table gives no rows. ``sequence_id`` is
+    shard * 2**32 + the row's number in its shard.
     """
-    pieces = _pieces(token_table(docs, tokenizer_path, end_id), capacity)
-    return pieces.join(place(pieces.select("piece", "length"), capacity).drop("length"), "piece")
+    return place(_pieces(token_table(docs, tokenizer_path, end_id, short=True), capacity), capacity)
 
 
 def _pieces(tokens: DataFrame, capacity: int) -> DataFrame:
     cut = tokens.filter("n_ids > 0").withColumn("cut", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_ids") - 1) / capacity))))
     start = F.col("cut") * capacity
     length = F.least(F.col("n_ids") - start, F.lit(capacity))
+    size = F.length("ids") / F.col("n_ids")
     return cut.select(
         "doc_id",
         start.alias("start"),
@@ -100,72 +108,137 @@ def _pieces(tokens: DataFrame, capacity: int) -> DataFrame:
         F.col("n_ids").alias("doc_tokens"),
         # Ids before the piece in its task are under 2**40, tasks under 2**23.
         (F.shiftleft("part", 40) + F.col("part_start") + start).alias("piece"),
-        F.substring("ids", (start * 4 + 1).cast("int"), (length * 4).cast("int")).alias("ids"),
+        F.substring("ids", (start * size + 1).cast("int"), (length * size).cast("int")).alias("ids"),
     )
 
 
+def _widened(table: pa.Table) -> pa.Table:
+    """``ids`` of 32 bits each."""
+    at = table.schema.get_field_index("ids")
+    if at < 0:
+        return table
+    ids = [
+        np.frombuffer(x, "<u2").astype("<u4").tobytes() if len(x) == 2 * n else x
+        for x, n in zip(table.column("ids").to_pylist(), table.column("length").to_pylist(), strict=True)
+    ]
+    return table.set_column(at, "ids", pa.array(ids, pa.binary()))
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """piece, sequence_id and offset for rows of ``piece`` (unique) and ``length``; other columns stay."""
-    shards = max(1, -(-pieces.count() // SHARD_PIECES))
-    at, others = pieces.schema, [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    """Adds sequence_id and offset to rows of ``piece`` (unique) and ``length``, a row's pieces next to each other."""
+    pieces = pieces.drop("sequence_id", "offset")
+    n, total = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    shards = max(1, -(-n // SHARD_PIECES), -(-total // SHARD_IDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        table = pa.Table.from_batches(parts)
-        table = table.sort_by([("length", "descending"), ("piece", "ascending")])
-        row, offset = best_fit_decreasing(table.column("length").to_numpy(), capacity)
+        table = pa.Table.from_batches(parts).combine_chunks()
+        parts.clear()
+        order = pc.sort_indices(table.select(["length", "piece"]), [("length", "descending"), ("piece", "ascending")]).to_numpy()
+        row, offset = best_fit_decreasing(table.column("length").to_numpy()[order], capacity)
+        by_row = np.lexsort((offset, row))
+        order, row, offset = order[by_row], row[by_row], offset[by_row]
         row += TaskContext.get().partitionId() << 32
-        table = table.append_column("sequence_id", pa.array(row)).append_column("offset", pa.array(offset))
-        yield from table.to_batches()
+        for first in range(0, len(order), OUT_ROWS):
+            some = slice(first, first + OUT_ROWS)
+            out = _widened(table.take(pa.array(order[some]))).append_column("sequence_id", pa.array(row[some]))
+            yield from out.append_column("offset", pa.array(offset[some])).combine_chunks().to_batches()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in at.fields if f.name in others)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return pieces.repartition(shards, "piece").mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
 def packed_rows(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
-    """One row of the packed matrix per sequence, ready to be written.
+    """One row of the packed matrix per sequence, ready to be written, from what ``pack`` returns.
 
     Returns sequence_id; ``ids``, padded to ``capacity`` with ``pad_id``; ``cu_seqlens``, the
     cumulative lengths from 0; ``positions``, which begin at 0 in every piece (0 in the padding);
-    and ``segments``, (doc_id, start, length) in order. Ids and positions are little-endian
-    32-bit values, so a file of rows is a matrix.
+    and ``segments``, (doc_id, start, length, doc_tokens) in order. Ids and positions are
+    little-endian 32-bit values, so a file of rows is a matrix. The pieces of a row must be
+    neighbours in one partition, as ``pack`` leaves them; others are an error.
     """
-    parts = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "start", "ids")))
-    grouped = pieces.groupBy("sequence_id").agg(parts.alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
         for batch in batches:
-            ids, bounds, positions = [], [], []
-            for parts in batch.column("parts").to_pylist():
-                row = np.full(capacity, pad_id, "<u4")
-                place = np.zeros(capacity, "<i4")
-                lengths = [p["length"] for p in parts]
-                for p in parts:
-                    row[p["offset"] : p["offset"] + p["length"]] = np.frombuffer(p["ids"], "<u4")
-                    place[p["offset"] : p["offset"] + p["length"]] = np.arange(p["length"])
-                ids.append(row.tobytes())
-                positions.append(place.tobytes())
-                bounds.append(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32).tolist())
-            segments = pa.array(
-                [[{k: p[k] for k in ("doc_id", "start", "length")} for p in parts] for parts in batch.column("parts").to_pylist()],
-                pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])),
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("sequence_id"), pa.array(ids, pa.binary()), pa.array(bounds, pa.list_(pa.int32())), pa.array(positions, pa.binary()), segments],
-                ["sequence_id", "ids", "cu_seqlens", "positions", "segments"],
-            )
-
-    return grouped.mapInArrow(
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            # The last row may go on in the next batch.
+            row = table.column("sequence_id").to_numpy()
+            firsts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])).tolist()
+            end = firsts[-1]
+            cuts = [*firsts[:-1:OUT_MATRIX_ROWS], end]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield _matrix_rows(table.slice(a, b - a), capacity, pad_id)
+            held = table.slice(end)
+        if held is not None:
+            yield _matrix_rows(held, capacity, pad_id)
+
+    slim = pieces.select("sequence_id", "offset", "length", "doc_id", "start", "doc_tokens", "ids")
+    return slim.mapInArrow(
         run,
         "sequence_id long, ids binary, cu_seqlens array<int>, positions binary, "
-        "segments array<struct<doc_id: long, start: long, length: long>>",
+        "segments array<struct<doc_id: long, start: long, length: long, doc_tokens: long>>",
+    )
+
+
+def _matrix_rows(table: pa.Table, capacity: int, pad_id: int) -> pa.RecordBatch:
+    batch = table.combine_chunks().to_batches()[0]
+    row, offset, length = (batch.column(c).to_numpy() for c in ("sequence_id", "offset", "length"))
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    last = np.append(first[1:], len(row))
+    total = np.cumsum(length)
+    begin = total - length
+    if (offset != begin - np.repeat(begin[first], last - first)).any() or (total[last - 1] - begin[first] > capacity).any():
+        raise ValueError("pieces of a packed row are not next to each other")
+    at = np.repeat(np.arange(len(first)), last - first) * capacity + offset
+    ids, positions = np.full((len(first), capacity), pad_id, "<u4"), np.zeros((len(first), capacity), "<i4")
+    for here, n, found in zip(at.tolist(), length.tolist(), batch.column("ids"), strict=True):
+        ids.reshape(-1)[here : here + n] = np.frombuffer(found.as_buffer(), "<u4")
+        positions.reshape(-1)[here : here + n] = np.arange(n)
+    # As many bounds as pieces and one more.
+    bounds = np.insert(offset + length, first, 0).astype(np.int32)
+    lists = np.append(first, len(row)).astype(np.int32)
+    segments = pa.StructArray.from_arrays(
+        [batch.column(c) for c in ("doc_id", "start", "length", "doc_tokens")], ["doc_id", "start", "length", "doc_tokens"]
+    )
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(row[first]),
+            pa.array([x.tobytes() for x in ids], pa.binary()),
+            pa.ListArray.from_arrays(lists + np.arange(len(lists), dtype=np.int32), bounds),
+            pa.array([x.tobytes() for x in positions], pa.binary()),
+            pa.ListArray.from_arrays(lists, segments),
+        ],
+        ["sequence_id", "ids", "cu_seqlens", "positions", "segments"],
     )
 
 
-def placement(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int | None = END_ID) -> DataFrame:
-    """As ``pack``, with a checksum in place of the ids: only slim rows are dealt into shards."""
-    pieces = _pieces(token_table(docs, tokenizer_path, end_id), capacity).withColumn("ids_crc32", F.crc32("ids"))
-    slim = stage(pieces.drop("ids"), "pieces")
-    return place(slim, capacity).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+def packed_matrix(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int | None = END_ID, pad_id: int = 0
+) -> DataFrame:
+    """The matrix of ``packed_rows`` over all documents, written to the shared folder."""
+    return stage(packed_rows(pack(docs, tokenizer_path, capacity, end_id), capacity, pad_id), "matrix")
+
+
+def digest_rows(matrix: DataFrame) -> DataFrame:
+    """The pieces of a packed matrix, with a checksum of the ids that its rows hold for them."""
+    pieces = F.transform(
+        "segments",
+        lambda s, i: F.struct(
+            s["doc_id"].alias("doc_id"),
+            s["start"].alias("start"),
+            s["length"].alias("length"),
+            F.crc32(F.col("ids").substr(F.col("cu_seqlens")[i] * 4 + 1, (F.col("cu_seqlens")[i + 1] - F.col("cu_seqlens")[i]) * 4)).alias("ids_crc32"),
+            s["doc_tokens"].alias("doc_tokens"),
+            F.col("cu_seqlens")[i].cast("long").alias("offset"),
+        ),
+    )
+    return matrix.select("sequence_id", F.inline(pieces)).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )

@@ -55,7 +55,7 @@ def op1_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binary_packing.placement(table(spark, sf_dir, "documents"), tokenizer_path())
+    return binary_packing.digest_rows(binary_packing.packed_matrix(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

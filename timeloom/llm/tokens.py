@@ -135,12 +135,18 @@ def encoder(path: str) -> TextEncoder:
     return _encoders[path]
 
 
-def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
+def _short(ids: bytes) -> bytes:
+    found = np.frombuffer(ids, "<u4")
+    return found.astype("<u2").tobytes() if len(found) and found.max() < 1 << 16 else ids
+
+
+def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, short: bool = False) -> DataFrame:
     """The token ids of every row of ``docs``, written to the shared folder.
 
     Returns doc_id, ``ids`` (little-endian unsigned 32-bit, ``end_id`` last if given),
     ``n_ids``, ``part`` (the number of the task that read the row) and ``part_start`` (ids in
-    that task before it). A null text counts as empty; a null doc_id is kept.
+    that task before it). A null text counts as empty; a null doc_id is kept. With ``short``,
+    the ids of a text have 16 bits each if they all fit.
     """
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
@@ -153,6 +159,8 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> Dat
                 texts = [data[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
                 ids = [found + tail for found in encode.ids_of(texts)]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                if short:
+                    ids = [_short(x) for x in ids]
                 starts = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays(
