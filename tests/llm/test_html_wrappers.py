@@ -43,6 +43,20 @@ def test_fixed_text_is_template_where_other_text_varies():
     assert text_of(pages[0], pages[0], pages[0]) == "A head\nShare this story\nA body"
 
 
+def test_text_of_one_page_is_no_template():
+    def page(words, extra=""):
+        return f"<article><h1>{words}</h1>{extra}<h2></h2><p>{words} body</p></article>"
+
+    odd = page("A", "bare text").replace("<h2>", "<h2>Only here")
+    others = [page(w) for w in "BCD"]
+    assert text_of(odd, *others) == "A\nbare text\nOnly here\nA body"
+    assert text_of(others[0], others[1], odd, others[2]) == "B\nB body"
+    host = H.expression(H.parse(others[0]))
+    for other in (others[1], odd, others[2]):
+        host = H.align(host, H.expression(H.parse(other)))
+    assert H.Wrapper(json.loads(json.dumps(host))).text(H.parse(odd)) == "A\nbare text\nOnly here\nA body"
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     a = H.expression(H.parse("<article><h1>x</h1><p>1<p>2<p>3</article>"))
     b = H.expression(H.parse("<article><h1>y</h1><figure>f</figure><p>1</article>"))

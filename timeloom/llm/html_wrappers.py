@@ -203,8 +203,9 @@ def parse(page: str | None) -> Group:
 
 
 # An expression is [key, kind, flags, pages, chars, link chars, text, parts]: flags 1 optional,
-# 2 repeated; text is None (no text), a number (always this one) or "" (a slot).
-_KEY, _KIND, _FLAGS, _PAGES, _CHARS, _LINKED, _TEXT, _PARTS = range(8)
+# 2 repeated; text is None (no text), a number (always this one) or "" (a slot). The last
+# value counts the pages that have a text here: where it is less than all, the text is optional.
+_KEY, _KIND, _FLAGS, _PAGES, _CHARS, _LINKED, _TEXT, _PARTS, _WITH_TEXT = range(9)
 OPTIONAL, REPEATED = 1, 2
 
 
@@ -213,7 +214,7 @@ def expression(group: Group) -> list:
     texts = [t for t in group.parts if isinstance(t, tuple)]
     joined = " ".join("".join(t for t, _ in texts).split())
     linked = sum(len(t) for t, in_link in texts if in_link)
-    out = [group.key, group.kind, 0, 1, len(joined), min(linked, len(joined)), hash_text(joined) if joined else None, []]
+    out = [group.key, group.kind, 0, 1, len(joined), min(linked, len(joined)), hash_text(joined) if joined else None, [], int(bool(joined))]
     parts = out[_PARTS]
     if group.kind == "never":
         return out
@@ -249,6 +250,7 @@ def align(a: list, b: list, pages: int | None = None) -> list:
         a[_LINKED] + b[_LINKED],
         text,
         [],
+        max(a[_WITH_TEXT], b[_WITH_TEXT]) if pages else a[_WITH_TEXT] + b[_WITH_TEXT],
     ]
     left, right, parts = a[_PARTS], b[_PARTS], out[_PARTS]
     i = j = 0
@@ -308,7 +310,7 @@ class Wrapper:
         return (inside and x[_TEXT] == "") or any(self._varies(p, inside) for p in x[_PARTS])
 
     def is_template(self, x: list | None) -> bool:
-        return bool(x) and self.drops_fixed and isinstance(x[_TEXT], int) and x[_PAGES] >= self.host[_PAGES] and not x[_FLAGS]
+        return bool(x) and self.drops_fixed and isinstance(x[_TEXT], int) and x[_WITH_TEXT] >= self.host[_PAGES] and not x[_FLAGS]
 
     def is_linked(self, x: list | None) -> bool:
         """Mostly links: a menu that no name gives away."""
