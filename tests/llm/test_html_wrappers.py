@@ -82,6 +82,24 @@ def test_the_surest_mark_counts():
     assert text_of(page.replace("article", "div").replace("main", "div")) == "intro\nlead\nBy me\nbody"
 
 
+def test_names_do_not_take_the_article_away():
+    article = "<article><p>body of it</article>"
+    for page in (
+        f'<div class="content-sidebar-wrap"><main>{article}</main></div>',
+        '<main class="has-sidebar"><p>body of it</main>',
+        f'<div id="page" class="no-sidebar">{article}</div>',
+        '<article class="post share-enabled"><p>body of it</article>',
+        '<section id="social-policy"><p>body of it</section>',
+        f'<div class="search-banner"><div class="promo">{article}</div></div>',
+    ):
+        assert text_of(page + '<div class="sidebar"><p>side</div>') == "body of it", page
+    # Beside and within an article names count as before.
+    page = '<article><p>body of it<div class="related">more and more and more</div></article>'
+    assert text_of(page + '<div class="comments"><article class="comment"><p>nice</article></div>') == "body of it"
+    page = '<div class="post"><p>body of the post</div><div id="comments"><article><p>nice</article></div>'
+    assert text_of(page) == "body of the post"
+
+
 def test_odd_markup_does_not_break():
     for page in ("", None, "<", "<p", "a < b <p>c", "<!-- open", "<script>x", "</p></div>text", "<a href='>'>q</a>", "<p>" * 500, "<div>" * 300 + "x"):
         assert isinstance(text_of(page), str)

@@ -60,6 +60,12 @@ _NEVER_WORDS = frozenset(
 )
 #: As these, but inside an article they head the article itself.
 _HEAD_WORDS = frozenset("header topbar".split())
+#: Words of parts that may hold articles other than the page's own.
+_OTHERS_WORDS = frozenset("comment comments commentlist disqus reply replies respond related recommended sidebar widget".split())
+#: A name that begins or ends so tells of the page's layout or state: "no-sidebar", "share-enabled".
+_LAYOUT_FIRST = frozenset("has no with without".split())
+_LAYOUT_LAST = frozenset("enabled disabled".split())
+_WRAP_LAST = frozenset("wrap wrapper container".split())
 _ARTICLE_WORDS = frozenset("article articlebody content main post entry story".split())
 #: An open tag that ends an open one of these, as far as the nearest of the fences.
 _ENDS = {
@@ -74,46 +80,61 @@ _ENDS = {
 _FENCES = frozenset("html body table td th button object".split())
 
 
-def _kind(tag: str, attributes: str, in_article: bool) -> tuple[str, str]:
-    """The key of a group, and what it is: "never", one of ``LEVELS``, or "plain"."""
+def _kind(tag: str, attributes: str, in_article: bool) -> tuple[str, str, tuple[str, str] | None]:
+    """The key of a group, and what it is: "never", one of ``LEVELS``, or "plain".
+
+    Third, for a group that is "never" by its names alone: key and kind without these.
+    """
     if tag in _NEVER:
-        return tag, "never"
+        return tag, "never", None
     if tag in ("html", "body"):  # their names speak of the whole page
-        return tag, "plain"
+        return tag, "plain", None
     words: set[str] = set()
+    #: Words of names that may speak of the part itself.
+    own: set[str] = set()
     if attributes and not attributes.isspace():
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id", "role", "itemprop"):
-                words.update(w.lower() for w in _NAME.findall(value))
+                for one in value.split():
+                    found = [w.lower() for w in _NAME.findall(one)]
+                    words.update(found)
+                    if not _is_layout(found) and not (tag == "article" and len(found) > 1 and not _OTHERS_WORDS & set(found)):
+                        own.update(found)
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return f"{tag}!", "never"
+                return f"{tag}!", "never", None
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return f"{tag}!", "never"
-    if words & _NEVER_WORDS or ((tag == "header" or words & _HEAD_WORDS) and not in_article):
-        return f"{tag}.{min(words & (_NEVER_WORDS | _HEAD_WORDS), default='')}", "never"
+                return f"{tag}!", "never", None
     key = f"{tag}.{'.'.join(sorted(words))}" if words else tag
-    if tag == "article":
-        return key, "article"
     if tag == "main" or (words == {"main"} and "role" in attributes):
-        return key, "main"
-    return key, "content" if words & _ARTICLE_WORDS else "plain"
+        return key, "main", None
+    kind = "article" if tag == "article" else "content" if words & _ARTICLE_WORDS else "plain"
+    if own & _NEVER_WORDS or ((tag == "header" or own & _HEAD_WORDS) and not in_article):
+        return f"{tag}.{min(own & (_NEVER_WORDS | _HEAD_WORDS), default='')}", "never", (key, kind)
+    return key, kind, None
+
+
+def _is_layout(name: list[str]) -> bool:
+    if len(name) < 2:
+        return False
+    wraps = name[-1] in _WRAP_LAST and not _ARTICLE_WORDS.isdisjoint(name)
+    return wraps or name[0] in _LAYOUT_FIRST or name[-1] in _LAYOUT_LAST
 
 
 class Group:
     """A node of a page: its key, what it is, and its groups and texts in order."""
 
-    __slots__ = ("key", "kind", "parts", "tag")
+    __slots__ = ("instead", "key", "kind", "parts", "tag")
 
-    def __init__(self, tag: str, key: str, kind: str) -> None:
-        self.tag, self.key, self.kind = tag, key, kind
+    def __init__(self, tag: str, key: str, kind: str, instead: tuple[str, str] | None = None) -> None:
+        self.tag, self.key, self.kind, self.instead = tag, key, kind, instead
         self.parts: list[Group | tuple[str, bool]] = []
 
 
 def parse(page: str | None) -> Group:
     """The groups of a page. Texts are (raw text, in a link); inline tags leave no group."""
     root = Group("", "", "plain")
-    stack, inline, links, articles = [root], [], 0, 0
+    stack, inline, links, articles, named = [root], [], 0, 0, False
     page = page or ""
     at, size = 0, len(page)
 
@@ -160,7 +181,7 @@ def parse(page: str | None) -> Group:
                 links = 1
             if "=" not in attributes and "hidden" not in attributes:
                 continue
-            key, kind = _kind(tag, attributes, articles > 0)
+            key, kind, instead = _kind(tag, attributes, articles > 0)
             if kind != "never":
                 continue
             if tag in _VOID:
@@ -184,8 +205,9 @@ def parse(page: str | None) -> Group:
                         break
                     if stack[depth].tag in _FENCES:
                         break
-            key, kind = _kind(tag, attributes, articles > 0)
-        group = Group(tag, key, kind)
+            key, kind, instead = _kind(tag, attributes, articles > 0)
+        group = Group(tag, key, kind, instead)
+        named = named or instead is not None
         stack[-1].parts.append(group)
         if tag in _VOID:
             continue
@@ -199,9 +221,54 @@ def parse(page: str | None) -> Group:
             continue
         articles += kind in LEVELS
         stack.append(group)
+    if named:
+        _take_back(root)
     return root
 
 
+def _take_back(root: Group) -> None:
+    """Names do not take the page's article away: without another one, its group is no "never" group.
+
+    That is a group that holds an article or main part, or most of the page's text outside
+    links. Parts that may hold others' articles (comments) do so only with most of the text.
+    """
+    if _holds(root, False):
+        return
+    whole = _unlinked(root)
+
+    def visit(group: Group) -> None:
+        for part in group.parts:
+            if isinstance(part, tuple) or (part.kind == "never" and part.instead is None):
+                continue
+            if part.kind == "never":
+                others = not _OTHERS_WORDS.isdisjoint(part.key.split("."))
+                if not (_holds(part, True) and not others) and 2 * _unlinked(part) <= whole:
+                    continue
+                (part.key, part.kind), part.instead = part.instead, None
+            visit(part)
+
+    visit(root)
+
+
+def _holds(group: Group, within_named: bool) -> bool:
+    """Whether an article or main part lies in ``group``, also in parts that are "never" by name."""
+    return any(
+        (p.kind in ("article", "main"))
+        or ((p.kind != "never" or (within_named and p.instead is not None)) and _holds(p, within_named))
+        for p in group.parts
+        if isinstance(p, Group)
+    )
+
+
+def _unlinked(group: Group) -> int:
+    return sum(
+        (0 if p[1] else len("".join(p[0].split())))
+        if isinstance(p, tuple)
+        else (0 if p.kind == "never" and p.instead is None else _unlinked(p))
+        for p in group.parts
+    )
+
+
 # An expression is [key, kind, flags, pages, chars, link chars, text, parts]: flags 1 optional,
 # 2 repeated; text is None (no text), a number (always this one) or "" (a slot). The last
 # value counts the pages that have a text here: where it is less than all, the text is optional.
