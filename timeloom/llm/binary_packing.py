@@ -24,8 +24,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Pieces that one task packs; more pieces make more shards.
 SHARD_PIECES = 200_000
-#: Ids that one task packs, about: it holds its pieces with their ids (64 MB, or half).
-SHARD_IDS = 1 << 24
+#: Ids that one task packs, about: it holds its pieces with their ids (32 MB, or half).
+SHARD_IDS = 1 << 23
 #: Pieces in a batch that a task gives out.
 OUT_ROWS = 1024
 #: Rows of the matrix in a batch.
@@ -124,30 +124,40 @@ def _widened(table: pa.Table) -> pa.Table:
     return table.set_column(at, "ids", pa.array(ids, pa.binary()))
 
 
+def _dealt(pieces: DataFrame) -> DataFrame:
+    n, total = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return pieces.repartition(max(1, -(-n // SHARD_PIECES), -(-total // SHARD_IDS)), "piece")
+
+
+def _placed(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """A shard's pieces in the order of their rows, with sequence_id and offset."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts).combine_chunks()
+    parts.clear()
+    order = pc.sort_indices(table.select(["length", "piece"]), [("length", "descending"), ("piece", "ascending")]).to_numpy()
+    row, offset = best_fit_decreasing(table.column("length").to_numpy()[order], capacity)
+    by_row = np.lexsort((offset, row))
+    order, row, offset = order[by_row], row[by_row], offset[by_row]
+    row += TaskContext.get().partitionId() << 32
+    for first in range(0, len(order), OUT_ROWS):
+        some = slice(first, first + OUT_ROWS)
+        out = _widened(table.take(pa.array(order[some]))).append_column("sequence_id", pa.array(row[some]))
+        yield from out.append_column("offset", pa.array(offset[some])).combine_chunks().to_batches()
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows of ``piece`` (unique) and ``length``, a row's pieces next to each other."""
     pieces = pieces.drop("sequence_id", "offset")
-    n, total = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-    shards = max(1, -(-n // SHARD_PIECES), -(-total // SHARD_IDS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts).combine_chunks()
-        parts.clear()
-        order = pc.sort_indices(table.select(["length", "piece"]), [("length", "descending"), ("piece", "ascending")]).to_numpy()
-        row, offset = best_fit_decreasing(table.column("length").to_numpy()[order], capacity)
-        by_row = np.lexsort((offset, row))
-        order, row, offset = order[by_row], row[by_row], offset[by_row]
-        row += TaskContext.get().partitionId() << 32
-        for first in range(0, len(order), OUT_ROWS):
-            some = slice(first, first + OUT_ROWS)
-            out = _widened(table.take(pa.array(order[some]))).append_column("sequence_id", pa.array(row[some]))
-            yield from out.append_column("offset", pa.array(offset[some])).combine_chunks().to_batches()
-
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return pieces.repartition(shards, "piece").mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    return _dealt(pieces).mapInArrow(lambda batches: _placed(batches, capacity), f"{fields}, sequence_id long, offset long")
+
+
+_MATRIX = (
+    "sequence_id long, ids binary, cu_seqlens array<int>, positions binary, "
+    "segments array<struct<doc_id: long, start: long, length: long, doc_tokens: long>>"
+)
 
 
 def packed_rows(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
@@ -159,32 +169,28 @@ def packed_rows(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) ->
     little-endian 32-bit values, so a file of rows is a matrix. The pieces of a row must be
     neighbours in one partition, as ``pack`` leaves them; others are an error.
     """
+    slim = pieces.select("sequence_id", "offset", "length", "doc_id", "start", "doc_tokens", "ids")
+    return slim.mapInArrow(lambda batches: _matrix_batches(batches, capacity, pad_id), _MATRIX)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            # The last row may go on in the next batch.
-            row = table.column("sequence_id").to_numpy()
-            firsts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])).tolist()
-            end = firsts[-1]
-            cuts = [*firsts[:-1:OUT_MATRIX_ROWS], end]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                yield _matrix_rows(table.slice(a, b - a), capacity, pad_id)
-            held = table.slice(end)
-        if held is not None:
-            yield _matrix_rows(held, capacity, pad_id)
 
-    slim = pieces.select("sequence_id", "offset", "length", "doc_id", "start", "doc_tokens", "ids")
-    return slim.mapInArrow(
-        run,
-        "sequence_id long, ids binary, cu_seqlens array<int>, positions binary, "
-        "segments array<struct<doc_id: long, start: long, length: long, doc_tokens: long>>",
-    )
+def _matrix_batches(batches: Iterator[pa.RecordBatch], capacity: int, pad_id: int) -> Iterator[pa.RecordBatch]:
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        # The last row may go on in the next batch.
+        row = table.column("sequence_id").to_numpy()
+        firsts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])).tolist()
+        end = firsts[-1]
+        cuts = [*firsts[:-1:OUT_MATRIX_ROWS], end]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield _matrix_rows(table.slice(a, b - a), capacity, pad_id)
+        held = table.slice(end)
+    if held is not None:
+        yield _matrix_rows(held, capacity, pad_id)
 
 
 def _matrix_rows(table: pa.Table, capacity: int, pad_id: int) -> pa.RecordBatch:
@@ -222,8 +228,10 @@ def _matrix_rows(table: pa.Table, capacity: int, pad_id: int) -> pa.RecordBatch:
 def packed_matrix(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int | None = END_ID, pad_id: int = 0
 ) -> DataFrame:
-    """The matrix of ``packed_rows`` over all documents, written to the shared folder."""
-    return stage(packed_rows(pack(docs, tokenizer_path, capacity, end_id), capacity, pad_id), "matrix")
+    """``packed_rows`` of ``pack``, in one Python worker per task, written to the shared folder."""
+    dealt = _dealt(_pieces(token_table(docs, tokenizer_path, end_id, short=True), capacity))
+    rows = dealt.mapInArrow(lambda batches: _matrix_batches(_placed(batches, capacity), capacity, pad_id), _MATRIX)
+    return stage(rows, "matrix")
 
 
 def digest_rows(matrix: DataFrame) -> DataFrame:
