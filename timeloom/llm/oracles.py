@@ -77,9 +77,35 @@ FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ',
 WINDOW same AS (PARTITION BY t)
 """
 
+OP11 = rf"""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents
+), item_terms AS (
+  SELECT item_id, unnest(regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), lengths AS (
+  SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id
+), total AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths
+), held AS (
+  SELECT doc_id, t, count(*) AS tf FROM doc_terms WHERE t IN (SELECT t FROM item_terms) GROUP BY doc_id, t
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, total GROUP BY t
+), scores AS (
+  SELECT item_id, doc_id,
+    CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM (SELECT item_id, t, count(*) AS repeats FROM item_terms GROUP BY item_id, t)
+  JOIN weights USING (t) JOIN held USING (t) JOIN lengths USING (doc_id), total
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 20
+"""
+
 ORACLES = {
     "op3_chat_format": OP3,
     "op5_near_dedup": OP5,
     "op8_decontaminate": OP8,
     "op9_exact_dedup": OP9,
+    "op11_lexical_search": OP11,
 }

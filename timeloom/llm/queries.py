@@ -12,6 +12,7 @@ from timeloom.llm import (
     exact_dedup,
     html_wrappers,
     language,
+    lexical_search,
     near_dedup,
     packing,
     quality,
@@ -107,6 +108,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score_documents(docs, model), TOXICITY_SPLIT, toxicity.THRESHOLD)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -120,5 +125,6 @@ QUERIES = {
         op8_decontaminate,
         op9_exact_dedup,
         op10_toxicity,
+        op11_lexical_search,
     )
 }
