@@ -102,10 +102,56 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 WHERE rank <= 20
 """
 
+OP12 = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(
+      list_prepend(4294967295, flatten(list_transform(
+        string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END
+    ), 4294967295) AS h
+  FROM documents
+), placed AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % greatest(len(w), 1) AS a, h // 10 AS g FROM split
+), texts AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i:
+    w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w
+  FROM placed
+), words AS (
+  SELECT doc_id, n, i, w[i + 1] AS word, array_to_string(w[i + 1:i + 5], ' ') AS gram
+  FROM (SELECT doc_id, n, w, unnest(range(n)) AS i FROM texts)
+), matches AS (
+  SELECT a.doc_id, a.i, a.i - b.i AS period
+  FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.gram = b.gram AND b.i < a.i AND 4 * (a.i - b.i) <= a.n
+  WHERE a.i + 5 <= a.n
+), stretches AS (
+  SELECT doc_id, period, min(i) - period AS start, count(*) + 4 + period AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS island FROM matches)
+  GROUP BY doc_id, period, island HAVING count(*) + 4 + period >= greatest(6, 4 * period)
+), runs AS (
+  SELECT * FROM stretches r WHERE NOT EXISTS (
+    SELECT 1 FROM stretches s WHERE s.doc_id = r.doc_id AND s.period < r.period
+      AND s.start <= r.start AND s.start + s.length >= r.start + r.length)
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS t
+  FROM runs GROUP BY doc_id
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (1000000000000 * length) // period DESC, start, period) = 1
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, (1000 * length) // period AS exponent_milli,
+  sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM texts LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES = {
     "op3_chat_format": OP3,
     "op5_near_dedup": OP5,
     "op8_decontaminate": OP8,
     "op9_exact_dedup": OP9,
     "op11_lexical_search": OP11,
+    "op12_periodic_runs": OP12,
 }

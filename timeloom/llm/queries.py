@@ -15,6 +15,7 @@ from timeloom.llm import (
     lexical_search,
     near_dedup,
     packing,
+    periodic_runs,
     quality,
     toxicity,
 )
@@ -112,6 +113,28 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents the words from one on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(w):
+        begin = F.pmod(g, F.size(w))
+        period = 1 + F.floor((F.size(w) - begin) / (3 + g % 8))
+        places = F.sequence(F.lit(0).cast("long"), F.size(w).cast("long") - 1)
+        at = F.transform(places, lambda i: F.when(i < begin, i).otherwise(begin + (i - begin) % period).cast("int"))
+        return F.array_join(F.transform(at, lambda i: F.get(w, i)), " ")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # The words are bound to a variable: else they would be found anew for each place.
+    text = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, planted(w))), 0)
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(text, "text")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest_rows(periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -126,5 +149,6 @@ QUERIES = {
         op9_exact_dedup,
         op10_toxicity,
         op11_lexical_search,
+        op12_periodic_runs,
     )
 }

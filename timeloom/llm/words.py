@@ -22,8 +22,9 @@ ALPHANUMERIC[0x80:] = True
 _FOLD = np.arange(256)
 _FOLD[0x41:0x5B] += 0x20
 _random = np.random.Generator(np.random.PCG64(20_240_607))
-#: A random value per byte, the same for A and a.
-_BYTE_VALUES = _random.integers(1, 1 << 63, 256, np.uint64)[_FOLD]
+#: A random value per byte; folded, the same for A and a.
+_PLAIN_VALUES = _random.integers(1, 1 << 63, 256, np.uint64)
+_BYTE_VALUES = _PLAIN_VALUES[_FOLD]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
 
@@ -91,9 +92,9 @@ def word_bounds(
     return starts, np.flatnonzero(ends), np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word after folding A-Z: a polynomial over random byte values."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, by default after folding A-Z: a polynomial over random byte values."""
     up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * up[:-1], out=sums[1:])
+    np.cumsum((_BYTE_VALUES if fold else _PLAIN_VALUES)[data] * up[:-1], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts])
