@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.session import new_path
 
 #: A key is heavy if it has more than this share of all rows, so there are at most 1000.
 HEAVY_SHARE = 1000
+#: In how many parts the best rows of all tasks are merged at first.
+MERGE_PARTS = 64
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -43,3 +45,14 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFram
 def digits_hash(id_column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``: the split into learned and held-out rows."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
+
+
+def best_rows(found: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of each ``group`` in ``order``, and their rank from 1.
+
+    ``found`` holds the best rows of each task: a group's rows grow with the number of tasks,
+    so they are merged in parts first.
+    """
+    parted = found.withColumn("__tasks", F.spark_partition_id() % MERGE_PARTS)
+    parted = parted.withColumn("rank", F.row_number().over(Window.partitionBy(group, "__tasks").orderBy(*order))).filter(F.col("rank") <= k)
+    return parted.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k).drop("__tasks")

@@ -18,10 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.common import stage
+from timeloom.llm.common import best_rows, stage
 from timeloom.llm.words import ALPHANUMERIC, slices, text_bytes, word_bounds, word_hashes
 
 #: Items, terms and documents of a tile.
@@ -34,8 +34,6 @@ IMPACT = 1_000_000
 EXACT = 1 << 53
 #: The filter of item terms has at most 2**27 bits (16 MB).
 FILTER_BITS = 27
-#: In how many parts an item's best documents of all tasks are merged at first.
-MERGE_PARTS = 64
 
 
 def count_terms(column: pa.Array, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,16 +115,8 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
         if blocks > 1:
             best = stage(best, "best")
         found = best if found is None else found.unionByName(best)
-    return _merged(found, k)
-
-
-def _merged(found: DataFrame, k: int) -> DataFrame:
-    """The best of all tasks; an item's rows of many tasks are merged in parts first."""
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
-    parted = found.withColumn("part", F.spark_partition_id() % MERGE_PARTS)
-    parted = parted.withColumn("rank", F.row_number().over(Window.partitionBy("item", "part").orderBy(*order))).filter(F.col("rank") <= k)
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(*order))
-    return parted.withColumn("rank", rank).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    return best_rows(found, "item", order, k).select("item_id", "rank", "doc_id", "score")
 
 
 @dataclass

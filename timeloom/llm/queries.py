@@ -12,6 +12,7 @@ from timeloom.llm import (
     exact_dedup,
     html_wrappers,
     language,
+    learned_partitions,
     lexical_search,
     near_dedup,
     packing,
@@ -135,6 +136,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest_rows(periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents"))))
 
 
+def op13_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -150,5 +155,6 @@ QUERIES = {
         op10_toxicity,
         op11_lexical_search,
         op12_periodic_runs,
+        op13_learned_partitions,
     )
 }
