@@ -9,7 +9,8 @@ vectors, and the share is the least that finds the wanted part of their neighbou
 vectors of the parts a query is routed to are all ranked by their exact inner product.
 
 Parts may have any size: one of many vectors is cut into blocks, and its queries into chunks.
-A unit of work is a block with a chunk. Its task holds the block and streams the queries.
+A unit of work is a block with a chunk. Its task holds the block and streams the queries, and
+gives out one row for each query with its nearest in the block; these rows are merged by query.
 """
 
 from __future__ import annotations
@@ -195,7 +196,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, wanted_recall: flo
     that share of a sample's true neighbours is found. The share is then the same for all queries.
     """
     own = usable(vectors)
-    out = "query_id long, vec_id long, score double"
     n = own.count()
     levels = int(np.clip(round(np.log2(max(n, 1) / PART_VECTORS)), 1, MOST_LEVELS))
     sample = _matrix(_sampled(own, max(SAMPLE, SAMPLE_OF_PART << levels), n, 0)["embedding"].combine_chunks())
@@ -218,8 +218,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, wanted_recall: flo
     unit = ["part", "block", "chunk"]
     units = sum(b * c for _, b, c in plan) or 1
     dealt = held.unionByName(asked).repartition(min(units, 100_000), *unit).sortWithinPartitions(*unit, "kind", "vec_id")
-    found = dealt.mapInArrow(lambda batches: _search_units(batches, k), out)
-    return best_rows(found, "query_id", [F.col("score").desc(), F.col("vec_id")], k).select("query_id", "rank", "vec_id", "score")
+    found = dealt.mapInArrow(lambda batches: _search_units(batches, k), "query_id long, vec_ids array<long>, scores array<double>")
+    merged = found.repartition("query_id").sortWithinPartitions("query_id")
+    return merged.mapInArrow(lambda batches: _merge(batches, k), "query_id long, rank int, vec_id long, score double")
 
 
 def _plan(sizes: np.ndarray, queries: dict[int, int]) -> list[tuple[int, int, int]]:
@@ -320,11 +321,39 @@ def _search_units(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Reco
                 ready = np.concatenate([i for i, _ in block]), np.concatenate([r for _, r in block])
             for at in range(0, last - first, PRODUCT_QUERIES) if ready is not None else ():
                 part = slice(first + at, min(last, first + at + PRODUCT_QUERIES))
-                yield _rows(nearest(ids[part], rows[at : at + PRODUCT_QUERIES], *ready, k))
+                yield _rows(*nearest(ids[part], rows[at : at + PRODUCT_QUERIES], *ready, k))
 
 
-def _rows(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+def _rows(query: np.ndarray, vec_id: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    """A row for each query; the rows of one follow each other."""
+    begin = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, np.int64)
+    bounds = np.append(begin, len(query)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (vec_id, score)]
+    return pa.RecordBatch.from_arrays([pa.array(query[begin]), *lists], ["query_id", "vec_ids", "scores"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best of each query, ranked; the rows of a query follow each other."""
+    left = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+    def ranked(whole: list[np.ndarray]) -> pa.RecordBatch:
+        rank = np.arange(len(whole[0])) - np.searchsorted(whole[0], whole[0]) + 1
+        columns = [whole[0], rank.astype(np.int32), *whole[1:]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["query_id", "rank", "vec_id", "score"])
+
+    for batch in batches:
+        query = np.repeat(batch.column("query_id").to_numpy(), batch.column("vec_ids").value_lengths().to_numpy())
+        own = [query, batch.column("vec_ids").flatten().to_numpy(), batch.column("scores").flatten().to_numpy()]
+        query, vec_id, score = (np.concatenate(x) for x in zip(left, own, strict=True))
+        order = np.lexsort((vec_id, -score, query))
+        query = query[order]
+        order = order[np.arange(len(query)) - np.searchsorted(query, query) < k]
+        best = [np.concatenate(x)[order] for x in zip(left, own, strict=True)]
+        # The last query may go on in the next batch.
+        whole = int(np.searchsorted(best[0], best[0][-1])) if len(order) else 0
+        yield ranked([x[:whole] for x in best])
+        left = [x[whole:] for x in best]
+    yield ranked(left)
 
 
 def nearest(
