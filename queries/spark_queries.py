@@ -136,7 +136,7 @@ def detection_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     export = I.detections(spark, sf_dir).drop("event_id", "source_artifact_file", "EvtxFile")
     export = export.withColumn("EvtxFile", F.lit("D:\\case\\Detections.evtx"))
     export.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    raw = hayabusa.read_timeline_csv(spark, path, multi_line=False)
+    raw = hayabusa.read_timeline_csv(spark, path)
     return _mapped_columns(hayabusa.map_rows(raw))
 
 
@@ -425,7 +425,7 @@ def delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
             "source_artifact": "events",
         }
     )
-    raw = generic.read(spark, path, columns, multi_line=False)
+    raw = generic.read(spark, path, columns)
     return _mapped_columns(generic.map_rows(raw, columns))
 
 
@@ -865,7 +865,7 @@ def analyze_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         [
             EvidenceInput("hayabusa", lines),
-            EvidenceInput("generic_csv", table, I.TIMELINE_MAP, multi_line=False),
+            EvidenceInput("generic_csv", table, I.TIMELINE_MAP),
             EvidenceInput("Hayabusa", lines),
         ],
         "mixed",

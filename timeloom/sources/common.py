@@ -65,25 +65,7 @@ def with_position(df: DataFrame) -> DataFrame:
     ).withColumn(ROW, F.monotonically_increasing_id())
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A CSV as string columns with positions.
-
-    Cells may hold newlines, which makes a file one unit of work. For large files
-    known to have none, ``multi_line=False`` lets Spark split them.
-    """
-    df = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .option("encoding", "UTF-8")
-        .csv(path)
-    )
-    return with_position(df)
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text lines as ``value`` with positions; a leading byte-order mark is dropped."""
     df = with_position(spark.read.text(path))
     return df.withColumn("value", F.regexp_replace("value", r"^\x{FEFF}", ""))
@@ -102,7 +84,16 @@ def file_name() -> Column:
 
 
 def with_row_number(df: DataFrame, output: str) -> DataFrame:
-    """Add each row's 1-based number within its file.
+    """Write positioned rows, and add each row's 1-based number within its file.
+
+    The source is read once: counts are taken from the written copy, from its positions alone.
+    Rows are counted as they are written, so filters before this may have dropped some.
+    """
+    return number_written(materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "rows"), output)
+
+
+def number_written(df: DataFrame, output: str) -> DataFrame:
+    """Number written rows whose ids are consecutive within each split.
 
     Only one small row per split is aggregated: the first row id and the row count.
     Running sums of the counts give every split its offset, and the number follows

@@ -21,11 +21,10 @@ from timeloom.sources.common import (
     file_name,
     mapped,
     position,
-    read_csv,
     reference,
     table_position,
-    with_row_number,
 )
+from timeloom.sources.structure import read_csv
 
 TOOL = "generic_csv"
 
@@ -108,15 +107,9 @@ def _detail_map(df: DataFrame, columns: ColumnMap, available: list[str]) -> Colu
     )
 
 
-def read(
-    spark: SparkSession,
-    path: str,
-    columns: ColumnMap,
-    input_index: int = 0,
-    multi_line: bool = True,
-) -> DataFrame:
+def read(spark: SparkSession, path: str, columns: ColumnMap, input_index: int = 0) -> DataFrame:
     """Raw rows of a delimited file, with the file's own columns."""
-    df = with_row_number(read_csv(spark, path, multi_line), "_number")
+    df = read_csv(spark, path)
     line = F.concat(F.lit("line:"), (F.col("_number") + 1).cast("string"))
     record = F.coalesce(_optional(df, columns.record_id_column), line)
     own = [name for name in df.columns if name not in (*POSITION, "_number")]
