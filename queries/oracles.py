@@ -731,3 +731,7 @@ ORACLES["delimited_scan"] = f"""WITH {TIMELINE}
 SELECT CAST(row_id AS VARCHAR) AS record, id AS event_id, datetime,
   'assumed_utc' AS source_timezone, 'logged' AS timestamp_desc, host, principal, action, object,
   'events' AS source_artifact, message, 1.0::DOUBLE AS confidence FROM named"""
+
+ORACLES["quoted_delimited_scan"] = ORACLES["delimited_scan"]
+ORACLES["detection_document_scan"] = ORACLES["detection_document_mapping"]
+ORACLES["supertimeline_scan"] = f"SELECT * EXCLUDE (record) FROM ({ORACLES['supertimeline_mapping']})"

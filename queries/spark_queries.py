@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from queries import inputs as I
@@ -163,6 +163,20 @@ def detection_json_stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped_columns(hayabusa.map_rows(hayabusa.read(spark, path)))
 
 
+#: Events of one array; a longer table makes more arrays.
+ARRAY_EVENTS = 3_000
+
+
+def _array_lines(objects: DataFrame) -> DataFrame:
+    """Lines of JSON arrays in order, from ``event_id`` and the ``text`` of each object; ``number`` tells the array."""
+    number = F.lpad(F.floor(F.col("event_id") / ARRAY_EVENTS).cast("string"), 12, "0")
+    held = objects.withColumn("number", number)
+    order = Window.partitionBy("number").orderBy("event_id")
+    begin = F.when(F.row_number().over(order) == 1, F.lit("[")).otherwise(F.lit(","))
+    end = F.when(F.lead("event_id").over(order).isNull(), F.lit("]")).otherwise(F.lit(""))
+    return held.select("number", "event_id", F.concat(begin, "text", end).alias("value")).sortWithinPartitions("number", "event_id")
+
+
 def mixed_folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder whose files hold JSON lines, one array each, or objects one after the other."""
     prepare(spark)
@@ -175,10 +189,9 @@ def mixed_folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread = F.concat(F.lit("{\n"), F.substr(text, F.lit(2)))
     lines = export.filter(kind == 0).select(text.alias("value"), F.lit("lines").alias("form"))
     objects = export.filter(kind == 1).select(spread.alias("value"), F.lit("objects").alias("form"))
-    number = (F.col("event_id") % 17).cast("string")
-    arrays = export.filter(kind == 2).groupBy(F.concat(F.lit("array-"), number).alias("form"))
-    joined = F.concat(F.lit("[\n"), F.array_join(F.collect_list(text), ",\n"), F.lit("\n]"))
-    for part in (lines, objects, arrays.agg(joined.alias("value"))):
+    arrays = _array_lines(export.filter(kind == 2).select("event_id", text.alias("text")))
+    arrays = arrays.select("value", F.concat(F.lit("array-"), "number").alias("form"))
+    for part in (lines, objects, arrays):
         part.write.partitionBy("form").mode("append").text(path)
     return _mapped_columns(hayabusa.map_rows(hayabusa.read_timeline_json(spark, path)))
 
@@ -248,6 +261,44 @@ def log_jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped_columns(velociraptor.map_rows(raw))
 
 
+def _tagged_detections(raw: DataFrame) -> DataFrame:
+    rows = normalize.normalize(chainsaw.map_rows(raw)).events
+    return tagging.tag_events(rows).select(
+        "event_id",
+        "message",
+        "action",
+        "principal",
+        "object",
+        _joined(views.technique_ids(F.col("attack_techniques"))).alias("techniques"),
+    )
+
+
+def detection_document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested detections read from the JSON arrays of a folder."""
+    prepare(spark)
+    path = _new_folder(spark, "hunt")
+    kind = F.col("event_type")
+    system = F.struct(
+        I.by_value(kind, LOG_IDS).alias("EventID"),
+        I.by_value(kind, LOG_CHANNELS).alias("Channel"),
+        F.concat(F.lit("HOST-"), (F.col("user_id") % 3).cast("string")).alias("Computer"),
+        F.col("event_id").alias("EventRecordID"),
+    )
+    event = F.struct(system.alias("System"), _log_fields().alias("EventData"))
+    document = F.struct(F.lit("C:\\case\\log.evtx").alias("path"), F.struct(event.alias("Event")).alias("data"))
+    detection = F.struct(
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("timestamp"),
+        F.when(kind == "view", F.lit("")).otherwise(F.lit("Rule")).alias("name"),
+        I.level().alias("level"),
+        F.array(F.lit("attack.execution"), F.lit("attack.t1059.001"), F.lit("Attack.T1059.001")).alias("tags"),
+        F.lit('[{"not } an \\ element').alias("note"),
+        document.alias("document"),
+    )
+    objects = I.table(spark, sf_dir, "events").select("event_id", F.to_json(detection).alias("text"))
+    _array_lines(objects).select("value", "number").write.partitionBy("number").text(path)
+    return _tagged_detections(chainsaw.read(spark, path))
+
+
 def detection_document_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     tags = F.array(F.lit("attack.execution"), F.lit("attack.t1059.001"), F.lit("Attack.T1059.001"))
@@ -264,16 +315,7 @@ def detection_document_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
         reference(F.lit("hunt.json"), F.col("event_id").cast("string")).alias("raw_ref"),
         table_position(F.col("event_id")).alias("ord"),
     )
-    rows = normalize.normalize(chainsaw.map_rows(raw)).events
-    tagged = tagging.tag_events(rows)
-    return tagged.select(
-        "event_id",
-        "message",
-        "action",
-        "principal",
-        "object",
-        _joined(views.technique_ids(F.col("attack_techniques"))).alias("techniques"),
-    )
+    return _tagged_detections(raw)
 
 
 def extracted_log_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,6 +340,28 @@ def extracted_log_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supertimeline_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped_columns(plaso.map_rows(_supertimeline_rows(spark, sf_dir)))
+
+
+def supertimeline_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A super-timeline read from CSV files whose notes hold line breaks and quotes."""
+    prepare(spark)
+    path = _new_folder(spark, "super")
+    rows = _supertimeline_rows(spark, sf_dir).withColumns(
+        {
+            "MACB": F.lit("...B"),
+            "sourcetype": F.lit("FILE log"),
+            "version": F.lit("2"),
+            "inode": F.lit("-"),
+            "notes": F.concat(F.lit('first, "quoted"\n'), "host", F.lit('\n\n"last')),
+            "format": F.lit("log"),
+        }
+    )
+    rows.select(*plaso.COLUMNS).write.option("header", True).option("escape", '"').csv(path)
+    return _mapped_columns(plaso.map_rows(plaso.read(spark, path))).drop("record")
+
+
+def _supertimeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     types = {
         "click": "Event Logged",
@@ -312,7 +376,7 @@ def supertimeline_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "view", F.lit("-"))
         .otherwise(I.by_index(F.col("user_id") % 4, I.TARGETS))
     )
-    raw = I.table(spark, sf_dir, "events").select(
+    return I.table(spark, sf_dir, "events").select(
         F.date_format("ts", "MM/dd/yyyy").alias("date"),
         F.date_format("ts", "HH:mm:ss").alias("time"),
         F.when(F.col("user_id") % 2 == 0, F.lit("America/New_York"))
@@ -330,7 +394,6 @@ def supertimeline_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
         reference(F.lit("super.csv"), F.col("event_id").cast("string")).alias("raw_ref"),
         table_position(F.col("event_id")).alias("ord"),
     )
-    return _mapped_columns(plaso.map_rows(raw))
 
 
 def file_table_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,9 +471,19 @@ def column_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _delimited(spark, I.export(spark, sf_dir))
+
+
+def quoted_delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``delimited_scan``, with a column of cells of several lines."""
+    remark = F.concat(F.lit('said "'), "label", F.lit('",\n\n'), "event_id", F.lit(',"\r\n'))
+    names = I.export(spark, sf_dir).columns
+    return _delimited(spark, I.export(spark, sf_dir).select(*names[:4], remark.alias("remark"), *names[4:]))
+
+
+def _delimited(spark: SparkSession, export: DataFrame) -> DataFrame:
     prepare(spark)
     path = _new_folder(spark, "edr")
-    export = I.export(spark, sf_dir)
     export.write.option("header", True).option("escape", '"').csv(path)
     columns = generic.ColumnMap.from_dict(
         {
@@ -952,6 +1025,9 @@ QUERIES = {
     "file_facts_mapping": file_facts_mapping,
     "column_map": column_map,
     "delimited_scan": delimited_scan,
+    "quoted_delimited_scan": quoted_delimited_scan,
+    "detection_document_scan": detection_document_scan,
+    "supertimeline_scan": supertimeline_scan,
     "action_labels": action_labels,
     "kv_parse": kv_parse,
     "multi_value": multi_value,
