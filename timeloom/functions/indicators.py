@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,14 @@ LOCAL_ADDRESS = r"^(?:127\.\d{1,3}\.\d{1,3}\.\d{1,3}|0\.0\.0\.0)$"
 # keeps the backtracking of the domain pattern bounded on hostile text.
 _OVERLONG_TOKEN = r"(?U)[\w.-]{254,}+"
 
+# What every indicator holds: a backslash, a dot before a letter or digit, or a long run of
+# hexadecimal digits. ASCII classes that fail at the first character of most words.
+_DOTTED = r"\.[A-Za-z0-9]"
+_HEX_RUN = r"[0-9a-fA-F]{32}"
+# Between tokens: ASCII that is neither part of a word nor of a name. A match of a digest,
+# an address or a domain lies within one token, and word bounds are the same inside it as in the text.
+_TOKEN_BREAK = r"[\x00-,/:-@\[-^`{-\x7f]+"
+
 # Final labels that are file extensions rather than top-level domains.
 FILE_EXTENSIONS = (
     "bak", "bat", "bin", "cmd", "conf", "csv", "dat", "dll", "dmp", "doc", "docx", "etl",
@@ -47,35 +57,42 @@ def scan(df: DataFrame, texts: str, output: str) -> DataFrame:
     """Add ``output``: the ``(ioc_type, value)`` indicators in the string array ``texts``.
 
     A text that is one whole path is a single indicator. Otherwise each pattern runs on
-    what the patterns before it left over, so a path never yields its parts again. The
-    stages are separate projections: each intermediate text is computed once, and rows
+    what the patterns before it left over, so a path never yields its parts again. One cheap
+    pass holds back texts that cannot have any indicator. Of the others, what paths leave over is split into
+    tokens once, and only tokens that can be a digest or a dotted name meet the patterns for these.
+    The stages are separate projections: each intermediate value is computed once, and rows
     never leave their partition.
     """
     kept = [name for name in df.columns if name != output]
-    stages = (
-        (PATH, QUOTED_PATH, 1, "\\"),
-        (PATH, DRIVE_PATH, 0, ":\\"),
-        (PATH, UNC_PATH, 0, "\\\\"),
-        (HASH, HASH_DIGEST, 0, None),
-        (IP, IPV4, 0, "."),
+
+    def holds(text: str) -> Callable[[Column], Column]:
+        return lambda t: t.contains(text)
+
+    def token_like(t: Column) -> Column:
+        return t.rlike(_DOTTED) | t.rlike(_HEX_RUN)
+
+    paths = (
+        (PATH, QUOTED_PATH, 1, holds("\\")),
+        (PATH, DRIVE_PATH, 0, holds(":\\")),
+        (PATH, UNC_PATH, 0, holds("\\\\")),
+    )
+    names = (
+        (HASH, HASH_DIGEST, 0, lambda t: t.rlike(_HEX_RUN)),
+        (IP, IPV4, 0, holds(".")),
     )
 
-    def matches(array: Column, pattern: str, group: int, needle: str | None) -> Column:
-        candidates = array if needle is None else F.filter(array, lambda t: t.contains(needle))
+    def matches(array: Column, pattern: str, group: int, may: Callable[[Column], Column]) -> Column:
         return F.flatten(
             F.transform(
-                candidates, lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
+                F.filter(array, may), lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
             )
         )
 
-    def blank(array: Column, pattern: str, needle: str | None) -> Column:
-        def one(t: Column) -> Column:
-            replaced = F.regexp_replace(t, pattern, " ")
-            return replaced if needle is None else F.when(t.contains(needle), replaced).otherwise(t)
-
-        return F.transform(array, one)
+    def blank(array: Column, pattern: str, may: Callable[[Column], Column]) -> Column:
+        return F.transform(array, lambda t: F.when(may(t), F.regexp_replace(t, pattern, " ")).otherwise(t))
 
-    trimmed = F.filter(F.transform(F.col(texts), strip), lambda t: t != "")
+    live = F.filter(F.col(texts), lambda t: t.contains("\\") | token_like(t))
+    trimmed = F.filter(F.transform(live, strip), lambda t: t != "")
     work = df.withColumn("_trimmed", trimmed)
     work = work.withColumn(
         "_whole", F.filter("_trimmed", lambda t: t.contains("\\") & t.rlike(WHOLE_PATH))
@@ -83,10 +100,13 @@ def scan(df: DataFrame, texts: str, output: str) -> DataFrame:
         "_work", F.filter("_trimmed", lambda t: ~(t.contains("\\") & t.rlike(WHOLE_PATH)))
     )
     parts = [_typed(PATH, F.col("_whole"))]
-    for number, (kind, pattern, group, needle) in enumerate(stages):
+    for number, (kind, pattern, group, may) in enumerate(paths + names):
+        if number == len(paths):
+            tokens = F.transform("_work", lambda t: F.filter(F.split(t, _TOKEN_BREAK), token_like))
+            work = work.withColumn("_work", F.flatten(tokens))
         found = f"_found{number}"
-        work = work.withColumn(found, matches(F.col("_work"), pattern, group, needle))
-        work = work.withColumn("_work", blank(F.col("_work"), pattern, needle))
+        work = work.withColumn(found, matches(F.col("_work"), pattern, group, may))
+        work = work.withColumn("_work", blank(F.col("_work"), pattern, may))
         column = F.col(found)
         if kind == IP:
             column = F.filter(column, lambda value: ~value.rlike(LOCAL_ADDRESS))
