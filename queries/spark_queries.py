@@ -641,7 +641,7 @@ def _text_indicators(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Dat
 
 def indicators_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, _ = _text_indicators(I.table(spark, sf_dir, "documents"), "doc_id", "text")
-    return index
+    return index.drop("ioc_key")
 
 
 def indicators_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -649,12 +649,12 @@ def indicators_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", F.concat_ws(" ", "url", "html").alias("text")
     )
     index, _ = _text_indicators(pages, "page_id", "text")
-    return index
+    return index.drop("ioc_key")
 
 
 def indicator_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, references = _text_indicators(I.table(spark, sf_dir, "documents"), "doc_id", "text")
-    return references
+    return references.drop("ioc_key")
 
 
 def indicator_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -663,7 +663,7 @@ def indicator_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indicators_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.extract(I.timeline(spark, sf_dir)).indicators
+    return indicators.extract(I.timeline(spark, sf_dir)).indicators.drop("ioc_key")
 
 
 # --- views and sentences --------------------------------------------------------------

@@ -32,6 +32,11 @@ def event_id(namespace: str, fields: dict[str, Column]) -> Column:
     return F.sha2(escape_controls(F.concat(*parts)), 256)
 
 
-def short_id(prefix: str, payload: Column) -> Column:
-    """``prefix`` plus the first hex digits of the payload's SHA-256."""
-    return F.concat(F.lit(prefix), F.left(F.sha2(payload, 256), F.lit(SHORT_ID_LENGTH)))
+def digest(payload: Column) -> Column:
+    """The payload's SHA-256 in hex: what rows are grouped and joined by."""
+    return F.sha2(payload, 256)
+
+
+def short_id(prefix: str, digest: Column) -> Column:
+    """``prefix`` plus the first hex digits of a digest: to be shown, too short to be a key."""
+    return F.concat(F.lit(prefix), F.left(digest, F.lit(SHORT_ID_LENGTH)))

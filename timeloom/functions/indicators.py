@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.functions.identity import short_id
+from timeloom.functions.identity import digest, short_id
 from timeloom.functions.text import fold, strip
 
 IP, DOMAIN, HASH, PATH = "ip", "domain", "hash", "path"
@@ -138,7 +138,7 @@ def dedup_key(kind: Column, value: Column) -> Column:
 
 
 def indicator_id(namespace: str, kind: Column, key: Column) -> Column:
-    return short_id("ioc-", F.concat_ws("\n", F.lit(namespace), kind, key))
+    return short_id("ioc-", digest(F.concat_ws("\n", F.lit(namespace), kind, key)))
 
 
 def defang(kind: Column, value: Column) -> Column:

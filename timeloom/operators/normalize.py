@@ -11,6 +11,7 @@ from timeloom.functions import details as D
 from timeloom.functions.identity import event_id
 from timeloom.functions.text import quote, strip
 from timeloom.functions.timestamps import canonical_datetime
+from timeloom.operators.skew import join_counted
 from timeloom.schema import (
     ACTION_PATTERN,
     DEFAULT_NAMESPACES,
@@ -150,16 +151,13 @@ def deduplicate(rows: DataFrame) -> DataFrame:
         good.groupBy("event_id")
         .agg(F.min("ord").alias("_first"), F.count("*").alias("_n"))
         .filter("_n > 1")
-        .select("event_id", "_first")
     )
     repeated = materialize(repeated, "repeated")
-    first = (
-        good.join(repeated, "event_id", "left")
-        .filter(F.col("_first").isNull() | (F.col("ord") == F.col("_first")))
-        .drop("_first")
-    )
+    # One event may have any share of the rows as copies.
+    placed = join_counted(good, repeated, "event_id", "_n")
+    first = placed.filter(F.col("_first").isNull() | (F.col("ord") == F.col("_first"))).drop("_first")
     detections = (
-        good.join(repeated.select("event_id"), "event_id", "left_semi")
+        placed.filter(F.col("_first").isNotNull())
         .select(
             "event_id",
             "ord",
