@@ -735,3 +735,14 @@ SELECT CAST(row_id AS VARCHAR) AS record, id AS event_id, datetime,
 ORACLES["quoted_delimited_scan"] = ORACLES["delimited_scan"]
 ORACLES["detection_document_scan"] = ORACLES["detection_document_mapping"]
 ORACLES["supertimeline_scan"] = f"SELECT * EXCLUDE (record) FROM ({ORACLES['supertimeline_mapping']})"
+
+# Shapes 2, 10, 11 and 17 have an offset; 13 tells hours, 14 and 19 minutes, 21 no date.
+ORACLES["timestamp_free_forms"] = f"""
+WITH shaped AS (SELECT event_id, CAST(unnest(range(22)) AS INT) AS shape, ts FROM events),
+cut AS (SELECT event_id, shape, CASE WHEN shape = 13 THEN date_trunc('hour', ts)
+    WHEN shape IN (14, 19) THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS ts,
+  CASE shape WHEN 2 THEN 5 WHEN 10 THEN 2 WHEN 11 THEN -3 WHEN 17 THEN -5 ELSE 0 END AS hours FROM shaped)
+SELECT event_id, shape, CASE WHEN shape < 21 THEN {_iso("(ts + to_hours(hours))")} END AS datetime,
+  CASE shape WHEN 2 THEN 'UTC-05:00' WHEN 10 THEN 'UTC-02:00' WHEN 11 THEN 'UTC+03:00' WHEN 17 THEN 'UTC+05:00'
+    WHEN 21 THEN NULL ELSE 'assumed_utc' END AS source_timezone
+FROM cut"""

@@ -76,6 +76,50 @@ def timestamp_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def timestamp_free_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty-two spellings of every event's time, in free order and with zone names, one of them no date."""
+    ts = F.col("ts")
+    day, month, year = (F.date_format(ts, x) for x in ("d", "MMM", "yyyy"))
+    clock, short = F.date_format(ts, "HH:mm:ss"), F.date_format(ts, "HH:mm")
+    noon = F.date_format(ts, "h:mm:ss a")
+
+    def text(*parts) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    shapes = [
+        text(year, F.date_format(ts, "-MM-dd "), clock, " EST"),
+        text(F.date_format(ts, "EEE "), day, " ", month, " ", year, " ", clock),
+        text(F.date_format(ts, "EEE, d MMM yyyy "), clock, " -0500 (EST)"),
+        text(day, "th of ", F.date_format(ts, "MMMM "), year, " at ", noon),
+        text(F.date_format(ts, "MMMM "), day, "th, ", year, " ", noon, " PST"),
+        text(year, " ", month, " ", day, " ", clock),
+        text(year, "/", month, "/", day, " ", clock),
+        text(day, ".", month, ".", year, " ", clock),
+        text(month, "-", day, "-", year, " ", clock),
+        text(F.date_format(ts, "MMM d "), clock, " EDT ", year),
+        text(F.date_format(ts, "EEE MMM d "), clock, " UTC+2 ", year),
+        text(F.date_format(ts, "yyyy-MM-dd "), clock, " GMT-03:00"),
+        text(F.date_format(ts, "yyyy-MM-dd HH'h'mm'm'ss's'")),
+        text(day, " ", month, " ", year, " ", F.date_format(ts, "h a")),
+        text(short, " on ", day, " ", F.date_format(ts, "MMMM "), year),
+        text(year, " ", day, " ", month, " ", clock),
+        text(year, ". ", F.date_format(ts, "M"), ". ", day, ". ", clock),
+        text(F.date_format(ts, "yyyy-MM-dd "), clock, " +5"),
+        text(F.date_format(ts, "yyyy-MM-dd"), " at ", clock),
+        text(F.date_format(ts, "yyyyMMdd "), short, " CET"),
+        text(clock, " ", day, month, year),
+        text(day, " ", F.lit("Foo"), " ", year, " ", clock),
+    ]
+    texts = I.table(spark, sf_dir, "events").select("event_id", F.posexplode(F.array(*shapes)).alias("shape", "raw"))
+    timed = add_timestamp(texts, F.col("raw"))
+    return timed.select(
+        "event_id",
+        "shape",
+        canonical_datetime(F.col("ts")).alias("datetime"),
+        F.when(F.col("time_reason").isNull(), F.col("source_timezone")).alias("source_timezone"),
+    )
+
+
 def dedup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = hayabusa.map_rows(I.detection_rows(spark, sf_dir)).unionByName(
         hayabusa.map_rows(I.detection_rows(spark, sf_dir, second=True))
@@ -1010,6 +1054,7 @@ QUERIES = {
     "episode_members": episode_members,
     "event_identity": event_identity,
     "timestamp_norm": timestamp_norm,
+    "timestamp_free_forms": timestamp_free_forms,
     "dedup_merge": dedup_merge,
     "duplicate_counts": duplicate_counts,
     "winevent_mapping": winevent_mapping,

@@ -2,6 +2,9 @@
 
 import hashlib
 import json
+import random
+import warnings
+from datetime import datetime, timezone
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -73,7 +76,7 @@ def test_less_common_forms(spark):
         "2024-01-02T03+02:00": "2024-01-02T01:00:00Z",
         "10:00 2024-01-02": "2024-01-02T10:00:00Z",
         "10:00:30 PM, Jan 2, 2024": "2024-01-02T22:00:30Z",
-        "2024-01-02 03:04:05 EST": None,
+        "2024-01-02 03:04:05 EST": "2024-01-02T03:04:05Z",  # a name of several zones tells no offset
         "10:00": None,
     }
     df = spark.createDataFrame([(k,) for k in want], "raw string")
@@ -81,6 +84,61 @@ def test_less_common_forms(spark):
     assert {r["raw"]: r["at"] for r in timed.collect()} == want
 
 
+def _dateutil(raw):
+    """What a free-form parser makes of a text, if it holds a full date: instant, and whether it has an offset.
+
+    It refuses some made texts for their punctuation alone ("3rd-Mar-26"); these may be read here.
+    """
+    parser = pytest.importorskip("dateutil.parser")
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            first, second = (parser.parse(raw, default=datetime(2001 + i, 1 + i, 1 + i)) for i in range(2))
+    except (ValueError, OverflowError):
+        return None
+    if first != second:
+        return None
+    aware = first.tzinfo is not None
+    at = first.astimezone(timezone.utc) if aware else first.replace(tzinfo=timezone.utc)
+    return at.replace(tzinfo=None), aware
+
+
+FREE = """Mon 3 Mar 2026 08:15|Mon, 3 Mar 2026 08:15:00 -0500 (EST)|3rd of March 2026 at 8:15 PM|March 3rd, 2026 8:15pm EST
+2026 Mar 3 08:00:00|2026/Mar/14 08:15|14.Mar.2026 08:15|14-Mar-26 08:15|14 Mar 26 08:15:00 GMT|Mar-14-2026 08:15
+Mar 14 08:15:00 EST 2026|Sat Mar 14 08:15:00 UTC+2 2026|2026-03-14 08:15 GMT-03:00|2026-03-14 08:15 EST-0500
+2026-03-14 08h15m30s|14 Mar 2026 8pm|14 Mar 2026 8 a.m.|8:15 on 14 March 2026|99-Jan-01 08:15|01-Jan-99 08:15
+2026 14 Mar 08:15|Mar 2026 14 08:15|Sept 14 2026|14 Mar '26|2026. 3. 14. 8:15|2026-03-14 08:15:30 +5|2026-03-14 at 08:15
+03 14 2026 08:15|14 03 2026 08:15|26 03 14 08:15|20260314 08:15 EST|Sat Mar 14 2026 08:15:30 GMT+0100 (CET)
+10:36:28.5 14 Mar 2026|14 Mar 2026 10h36|14 Mar 2026 10h|1996.July.10 AD 12:08 PM|5:50 A.M. on June 13, 1990|14Mar2026 08:15
+14/Mar/2026:08:15:00 +0000|Saturday|Mar 14|8pm|14 Mar 2026 25:00|14 Foo 2026 08:15|2026-03-14 08:15:30 +530|2026-03-14 08:15 est
+2026-03-14 08:15:30 (EST)|14 Mar 2026 08:15 and 3|2026-03-14 24:00|31 Feb 2026 08:15|Mar Apr 2026|2026-03-14 08:15 Z EST""".replace("\n", "|")
+
+
+def test_free_forms_are_read_as_a_free_form_parser_reads_them(spark):
+    r = random.Random(3)
+    fixed = FREE.split("|")
+    raws = list(fixed)
+    for _ in range(400):
+        day, year = r.choice(["14", "3", "3rd", "31st", "02"]), r.choice(["2026", "1999", "26", "'98"])
+        month = r.choice(["Mar", "March", "JUL", "july", "Sept", "Dec.", "May"])
+        date = r.choice(["{d} {m} {y}", "{m} {d}, {y}", "{d}-{m}-{y}", "{m}/{d}/{y}", "{y} {m} {d}", "{d} of {m}, {y}", "{d} {m}"])
+        date = date.format(d=day, m=month, y=year)
+        time = r.choice(["08:15", "8:15:30", "08:15:30.25", "8:15 pm", "8pm", "11:59:59 AM", "23:00:01,5", "8h", ""])
+        zone = r.choice(["", "", " EST", " GMT", "Z", " UTC", "+0200", " -03:30", " UTC+1", " PDT-7", " CEST +02:00"]) if time else ""
+        raws.append(r.choice(["{d} {t}{z}", "{w} {d} {t}{z}", "{t}{z} {d}", "{w}, {d} at {t}{z}"]).format(
+            d=date, t=time, z=zone, w=r.choice(["Mon", "Tuesday", "sat"])))
+    df = spark.createDataFrame([(x,) for x in dict.fromkeys(raws)], "raw string")
+    found = add_timestamp(df, F.col("raw")).collect()
+    wrong = [
+        (x["raw"], x["ts"], x["source_timezone"], _dateutil(x["raw"]))
+        for x in found
+        if (None if x["time_reason"] else (x["ts"], x["source_timezone"] != "assumed_utc")) != _dateutil(x["raw"])
+        and (x["raw"] in fixed or _dateutil(x["raw"]))
+    ]
+    assert not wrong, "\n".join(map(str, wrong))
+    assert sum(x["time_reason"] is None for x in found) > 200
+
+
 def test_row_zones_are_all_usable(spark):
     from timeloom.functions.timestamps import KNOWN_ZONES
 

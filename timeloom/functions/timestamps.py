@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timeloom.functions import freeform
+from timeloom.functions.freeform import MONTHS
 from timeloom.functions.text import quote, strip
 
 ASSUMED_UTC = "assumed_utc"
@@ -24,8 +26,6 @@ _COMPACT_MINUTE = rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt]?(\d{{2}})(\d{{2}})({_ZONE}
 _COMPACT_SECOND = (
     rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt]?(\d{{2}})(\d{{2}})(\d{{2}}(?:[.,]\d+)?)({_ZONE}?)$"
 )
-# English month names, by their first three letters.
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTH_NAME = "(" + "|".join(MONTHS) + r")[a-z]*\.?"
 _WEEKDAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?"
 _DAY_NAMED = rf"(?i)^{_WEEKDAY}(\d{{1,2}})[\s-]+{_MONTH_NAME},?[\s-]+(\d{{4}})({_TAIL})$"
@@ -192,7 +192,13 @@ def add_timestamp(
         .withColumn("_trimmed_time", strip(F.col("_raw_time")))
         .withColumn("_time_text", _date_first(F.col("_trimmed_time")))
         .withColumn("_time_text", _year_month_day(text))
-        .withColumn("_time_text", _twenty_four_hours(text))
+    )
+    staged = freeform.add_rewritten(staged, "_trimmed_time", "_time_text")
+    # Always true, but not known before a row is there: filters on the results stay above this,
+    # and Spark does not copy the chain up to here into each of their expressions.
+    staged = staged.withColumn("_time_text", F.when(F.monotonically_increasing_id() >= 0, text))
+    staged = (
+        staged.withColumn("_time_text", _twenty_four_hours(text))
         .withColumn("_time_text", _tidy_zone(text))
         .withColumn(
             "_offset",
