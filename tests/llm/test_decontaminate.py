@@ -27,7 +27,7 @@ def brute(docs, items, size):
             at = [i for i in range(len(own) - n + 1) if n and tuple(own[i : i + n]) in windows]
             for i in at:
                 hit.update(range(i, i + n))
-            if at:
+            if at and item_id not in found:
                 found.append(item_id)
         joined = ",".join(sorted(str(i) for i in found if i is not None))
         out.append((doc_id, len(own), len(hit), len(found), hashlib.sha256(joined.encode()).hexdigest(), bool(hit)))
@@ -43,6 +43,7 @@ def corpus(seed=3):
 
     items = [(i, " ".join(text(n))) for i, n in enumerate([14, 12, 10, 9, 3, 30])] + [(6, ""), (7, None), (8, "--"), (9, "unique")]
     items += [(10, items[0][1]), (None, " ".join(text(11)))]
+    items += [(1, items[0][1]), (None, items[3][1]), (3, " ".join(text(12))), items[5]]  # ids and rows that repeat
     docs = []
     for i in range(40):
         parts = text(r.choice([0, 3, 15, 60]))

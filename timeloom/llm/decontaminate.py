@@ -215,11 +215,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     Reads doc_id and text of ``docs``, item_id and text of ``benchmark``. A word is a run of
     digits, Latin letters (A-Z folded) and characters beyond ASCII. A window is ``window``
     consecutive words of an item, or all words of a shorter one. Returns one row per row of
-    ``docs``: doc_id, n_words, n_hit (words inside any occurrence of a window), items (ids of
-    items with occurring windows, one entry for each item row), and matches: the longest
-    verbatim ones as (item_id, doc_word, item_word, n_words).
-    Null or empty texts have no words and no hit; null ids stay null (an item without id
-    counts, with a null entry in items); repeated rows and items count each; an empty benchmark hits nothing; other columns are ignored.
+    ``docs``: doc_id, n_words, n_hit (words inside any occurrence of a window), items (the
+    distinct ids of items with occurring windows), and matches: the longest verbatim ones as
+    (item_id, doc_word, item_word, n_words), for each row of ``benchmark``.
+    Null or empty texts have no words and no hit; null ids stay null (items without id count
+    once, as a null entry in items); repeated rows of ``docs`` count each, repeated item ids
+    once; an empty benchmark hits nothing; other columns are ignored.
     With ``only_clean`` the rows of ``docs`` without a hit, with all their columns, instead.
     """
     blocks = _item_blocks(benchmark)
@@ -233,7 +234,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     else:
         found = _several_passes(slim, blocks, window)
     size = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
-    ids = F.transform("items", lambda i: F.nullif(F.element_at(F.split(i, ":"), -1), F.lit("")))
+    ids = F.array_distinct(F.transform("items", lambda i: F.nullif(F.element_at(F.split(i, ":"), -1), F.lit(""))))
     return found.select("doc_id", "n_words", size.alias("n_hit"), ids.alias("items"), "matches")
 
 
