@@ -30,8 +30,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 4096 tokens."""
-    return packing.digest_rows(packing.concatenate_and_cut(docs, queries.tokenizer_path()))
+    """The pieces of all documents in windows of 4096 tokens, with their ids."""
+    return packing.concatenate_and_cut(docs, queries.tokenizer_path())
 
 
 STAGES = [
