@@ -71,11 +71,14 @@ def test_every_stage_and_the_whole(spark, tmp_path):
     assert got.columns == frame.columns and pairs(got.collect()) == want and 1004 not in clean_ids
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER))
-    total = {d: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in want}
+    ids = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for d, t in want}
+    total = {d: len(own) for d, own in ids.items()}
     for packed in (stages["packing"](spark, got, folder).collect(), corpus_pipeline.run(spark, folder).collect()):
         sums: dict = {}
         for r in packed:
             sums[r.doc_id] = sums.get(r.doc_id, 0) + r.length
         assert sums == total
         at = np.array(sorted((r.sequence_id * 4096 + r.offset, r.length) for r in packed))
+        for r in packed:
+            assert np.frombuffer(r.ids, "<u4").tolist() == ids[r.doc_id][r.start : r.start + r.length]
         assert (at[1:, 0] == at[:-1, 0] + at[:-1, 1]).all() and at[0, 0] == 0

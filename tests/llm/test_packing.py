@@ -177,3 +177,22 @@ def test_packed_rows_want_whole_rows(spark):
     pieces = binary_packing.pack(rows(spark, TEXTS), WORDS, capacity=32)
     with pytest.raises(Exception, match="next to each other"):
         binary_packing.packed_rows(pieces.filter("offset > 0"), 32).collect()
+
+
+def test_slices_with_marks_and_special_tokens_in_any_case():
+    import random
+
+    import pyarrow as pa
+
+    from timeloom.llm.words import text_bytes
+
+    r = random.Random(5)
+    bits = ["a", "B", "é", "É", "1", ",", ".", "..", "!", "?", ";", " ", " ", " ", "\n", "\t", "日", "ß", "İ", "'s", "-"]
+    bits += ["Word,", "x.", "\x0b", "\x85", "<|endoftext|>", "<|ENDOFTEXT|>", "😀", "́", "²"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(14))) for _ in range(6000)]
+    tokenizer, made = Tokenizer.from_file(WORDS), tokens.encoder(WORDS)
+    for first in range(0, len(texts), 100):
+        part = texts[first : first + 100]
+        for text, found in zip(part, made.ids_of_slice(*text_bytes(pa.array(part))), strict=True):
+            assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert made.ids_of_slice(np.zeros(0, np.uint8), np.zeros(1, np.int64)) == []

@@ -17,6 +17,9 @@ from timeloom.llm.words import slices, text_bytes
 #: Words that a worker's cache holds; the older half is let go when it is full.
 CACHE_WORDS = 450_000
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
+_WHITE, _ALNUM, _MARK = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\x0b\f\r", b"abcdefghijklmnopqrstuvwxyz0123456789", b",.;:!?"))
 _encoders: dict[str, WordEncoder | TextEncoder] = {}
 
 
@@ -33,13 +36,19 @@ class TextEncoder:
     def ids_of(self, texts: list[bytes]) -> list[bytes]:
         return [self.ids(t) for t in texts]
 
+    def ids_of_slice(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of texts that lie one after the other in ``data``."""
+        bounds = offsets.tolist()
+        return self.ids_of([data[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)])
+
 
 class WordEncoder(TextEncoder):
     """Ids of texts from the ids of their words, where white space only separates words.
 
     Words that are not in the cache are encoded many at a time: letters only words joined by
     spaces, cut after each token that ends a word. Trailing ASCII punctuation is its own run
-    of tokens, so "word," is "word" and ",". Texts that hold a special token go as a whole.
+    of tokens, so "word," is "word" and ","; the commonest are set apart before words are
+    looked up, so the cache holds them once. Texts that hold a special token go as a whole.
     """
 
     def __init__(self, tokenizer, path: str, word_end: str) -> None:
@@ -56,36 +65,52 @@ class WordEncoder(TextEncoder):
 
     def ids_of(self, texts: list[bytes]) -> list[bytes]:
         """The ids of many texts; their new words are encoded together."""
-        words = [t.lower().split() for t in texts]
-        self._learn(set().union(*words))
-        known = self.young.__getitem__
-        out = [b"".join(map(known, w)) for w in words]
+        folded = [t.lower() for t in texts]
+        out = self._ids(folded)
+        # Folding may make a special token of ordinary text, so any that looks like one goes as a whole.
         for special in self.special:
-            for i, text in enumerate(texts):
+            for i, text in enumerate(folded):
                 if special in text:
-                    out[i] = TextEncoder.ids(self, text)
+                    out[i] = TextEncoder.ids(self, texts[i])
         return out
 
+    def ids_of_slice(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        folded = _FOLD[data]
+        whole = folded.tobytes()
+        if any(special in whole for special in self.special):
+            return super().ids_of_slice(data, offsets)
+        # One mark between a letter or digit and the word's end is set apart.
+        data, inner = folded, offsets[1:-1]
+        last = np.append(_WHITE[data[1:]], True)[: len(data)]
+        last[inner[inner > 0] - 1] = True
+        first = np.append(False, _ALNUM[data[:-1]])[: len(data)]
+        first[inner[inner < len(data)]] = False
+        marks = np.flatnonzero(_MARK[data] & first & last)
+        text = np.insert(data, marks, 0x20).tobytes()
+        bounds = (offsets + np.searchsorted(marks, offsets)).tolist()
+        return self._ids([text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)])
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        self._learn(set().union(*words))
+        known = self.young.__getitem__
+        return [b"".join(map(known, w)) for w in words]
+
     def _learn(self, words: set[bytes]) -> None:
         if len(self.young) > CACHE_WORDS // 2:
             self.old, self.young = self.young, {}
-        words = words.difference(self.young)
-        young, known, whole, stems = self.young, self.old, set(), {}
-        for word in words:
-            if word in known:
-                young[word] = known[word]
-                continue
-            stem = word.rstrip(_PUNCTUATION)
-            if len(stem) < len(word) and stem and _letter_or_digit(stem):
-                stems[word] = stem
-                whole.add(stem)
-                whole.add(word[len(stem) :])
-            else:
-                whole.add(word)
-        letters, others = [], []
-        for word in whole.difference(young):
-            plain = word.isalpha() or (not word.isascii() and word.decode("utf-8", "replace").isalpha())
-            (letters if plain else others).append(word)
+        young, known = self.young, self.old
+        new = [w for w in words.difference(young) if w not in known or young.__setitem__(w, known[w])]
+        plain = [w for w in new if w.isalpha()]
+        rest = [w for w in new if not w.isalpha()]
+        stems = {w: stem for w in rest if (stem := w.rstrip(_PUNCTUATION)) is not w and stem and _letter_or_digit(stem)}
+        whole = {w for w in rest if w not in stems}
+        for word, stem in stems.items():
+            whole |= {stem, word[len(stem) :]}
+        letters, others = plain, []
+        for word in whole.difference(young, plain):
+            by_letters = word.isalpha() or (not word.isascii() and word.decode("utf-8", "replace").isalpha())
+            (letters if by_letters else others).append(word)
         for first in range(0, len(letters), 4096):
             self._encode_letters(letters[first : first + 4096])
         self._encode_each(others)
@@ -155,9 +180,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int | None, short:
         for batch in batches:
             for piece in slices(batch, "text"):
                 data, offsets = text_bytes(piece.column("text"))
-                bounds = offsets.tolist()
-                texts = [data[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-                ids = [found + tail for found in encode.ids_of(texts)]
+                ids = [found + tail for found in encode.ids_of_slice(data, offsets)]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 if short:
                     ids = [_short(x) for x in ids]
