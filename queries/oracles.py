@@ -746,3 +746,21 @@ SELECT event_id, shape, CASE WHEN shape < 21 THEN {_iso("(ts + to_hours(hours))"
   CASE shape WHEN 2 THEN 'UTC-05:00' WHEN 10 THEN 'UTC-02:00' WHEN 11 THEN 'UTC+03:00' WHEN 17 THEN 'UTC+05:00'
     WHEN 21 THEN NULL ELSE 'assumed_utc' END AS source_timezone
 FROM cut"""
+
+# DRAFTS and EPISODES both begin with the timeline; EPISODES comes first, without it DRAFTS goes on.
+_TOLD = f"""{EPISODES}, {DRAFTS.replace(TIMELINE, '', 1).lstrip().removeprefix(',')},
+tagged AS (SELECT *, {RULES} AS technique, {SEVERITY} AS severity FROM timeline)"""
+ORACLES["narrative_report"] = f"""WITH {_TOLD}
+SELECT a.event_id AS case_id, a.event_id AS backing_event_id, a.round_index, t.datetime, t.host,
+  {_STATEMENT} AS statement, t.message AS detection, t.severity, coalesce(technique, '') AS techniques,
+  'datetime|action' AS verified, 0 AS context, episode_id
+FROM (SELECT event_id, round_index FROM accepted) a JOIN tagged t ON t.event_id = a.event_id JOIN members m ON m.event_id = t.event_id"""
+ORACLES["notable_cited"] = f"""WITH {_TOLD}
+SELECT t.event_id, severity, technique IS NOT NULL OR coalesce(severity IN ('high', 'critical'), false)
+  OR t.event_id IN (SELECT event_id FROM accepted) AS notable FROM tagged t"""
+ORACLES["written_report"] = f"""WITH {_TOLD}
+SELECT 'events' AS name, count(*) AS rows FROM timeline UNION ALL SELECT 'episode_events', count(*) FROM members
+UNION ALL SELECT 'provenance', count(*) FROM timeline UNION ALL SELECT 'episodes', count(*) FROM episodes
+UNION ALL SELECT 'narrative', count(DISTINCT event_id) FROM accepted UNION ALL SELECT 'audit', count(*) FROM audit
+UNION ALL SELECT 'problems', 0 UNION ALL SELECT 'findings', count(*) FROM tagged
+  WHERE technique IS NOT NULL OR severity IN ('high', 'critical')"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -1016,6 +1018,48 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _told_case(spark: SparkSession, sf_dir: str) -> Case:
+    """The case with a narrative: every event's drafts, judged."""
+    events = I.timeline(spark, sf_dir)
+    return case_from_events(events, "told", I.seed_catalog(spark), drafts=narrative_drafts(events))
+
+
+def narrative_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrative of the report: one entry per accepted event, with what backs it."""
+    entries = report.narrative(_told_case(spark, sf_dir))
+    return entries.select(
+        "case_id",
+        "backing_event_id",
+        "round_index",
+        "datetime",
+        "host",
+        "statement",
+        "detection",
+        "severity",
+        F.coalesce(_joined(F.transform("techniques", lambda t: t["technique_id"])), F.lit("")).alias("techniques"),
+        _joined(F.col("verified_fields")).alias("verified"),
+        F.size("context_citations").alias("context"),
+        "episode_id",
+    )
+
+
+def notable_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are findings, or that the narrative rests on."""
+    return report.notable_events(_told_case(spark, sf_dir)).select("event_id", "severity", "notable")
+
+
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every table of a report with a narrative, written and read back by its manifest."""
+    path = _new_folder(spark, "report") + "/told"
+    outputs.write_report(_told_case(spark, sf_dir), path)
+    counts = [
+        df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
+        for name, df in outputs.read_report(spark, path).items()
+        if name in ("events", "findings", "narrative", "audit", "episodes", "episode_events", "provenance", "problems")
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def notable_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = report.displayed_events(_case(spark, sf_dir), 2000)
     return shown.select("event_id", "severity", "notable", "capped")
@@ -1110,6 +1154,9 @@ QUERIES = {
     "stats": stats,
     "findings": findings,
     "notable_capped": notable_capped,
+    "narrative_report": narrative_report,
+    "notable_cited": notable_cited,
+    "written_report": written_report,
     "episode_techniques": episode_techniques,
     "events_annotated": events_annotated,
     "saved_events_reload": saved_events_reload,

@@ -89,3 +89,28 @@ def test_join_without_rows_or_heavy_keys(spark):
     assert join_counted(left.limit(0), right, "k", "n").count() == 0
     many = spark.range(3000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("n"), F.col("id").alias("w"))
     assert join_counted(many.select("k"), many, "k", "n").filter("k <> cast(w AS string) OR w IS NULL").count() == 0
+
+
+def test_a_report_is_there_as_a_whole_or_not_at_all(spark, catalog, tmp_path, monkeypatch):
+    import pytest
+
+    from timeloom.plans import outputs
+
+    case = analyze(spark, [EvidenceInput("hayabusa", _timeline(tmp_path, 3))], "c", catalog)
+    path = str(tmp_path / "report")
+    tables = report.report_tables(case)
+    broken = case.events.limit(1).select(F.raise_error(F.lit("a task failed")).cast("string").alias("x"))
+    names = list(tables)
+    half = dict(list(tables.items())[: len(names) // 2]) | {"broken": broken} | {names[-1]: tables[names[-1]]}
+    monkeypatch.setattr(outputs, "report_tables", lambda _: half)
+    with pytest.raises(Exception, match="a task failed"):
+        outputs.write_report(case, path)
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("report")]
+    with pytest.raises(outputs.IncompleteReportError):
+        outputs.read_report(spark, path)
+    monkeypatch.setattr(outputs, "report_tables", lambda _: tables)
+    outputs.write_report(case, path + "/")
+    found = outputs.read_report(spark, path)
+    assert found.keys() == tables.keys() and found["events"].count() == 3
+    with pytest.raises(FileExistsError):
+        outputs.write_report(case, path)
