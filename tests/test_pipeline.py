@@ -290,6 +290,42 @@ def test_tagging_is_idempotent_and_table_only_ignores_rule_tags(spark, case):
     assert ids["process_create"] == ["T1059.001"] and ids["service_install"] == ["T1543.003"]
 
 
+def test_tags_are_resolved_in_place_as_by_joins(spark, case, monkeypatch):
+    tags = [["T1001", " t1002 ", "no id"], ["T1003.001", "T1001", None], [], None, ["T1002"] * 3]
+    rows = spark.createDataFrame([(f"e{i}", t) for i, t in enumerate(tags * 3)], "event_id string, t array<string>")
+    one = case.events.drop("event_id", "attack_techniques").limit(1)
+    entries = F.map_concat(one["details.lists"], F.create_map(F.lit("rule_mitre_tags"), F.col("t")))
+    details = F.struct(F.col("details.scalars"), entries.alias("lists"), F.col("details.maps"))
+    events = rows.crossJoin(one).withColumn("details", details.cast(case.events.schema["details"].dataType))
+    events = events.withColumn("attack_techniques", F.array().cast(tagging.TECHNIQUES))
+    successors = spark.createDataFrame(
+        [("T1001", "T1003.001"), ("T1002", "T1009"), ("T1002", "T1008"), (None, "T1007")], "technique_id string, revoked_by string"
+    )
+
+    def tagged():
+        return tagging.tag_events(events, successors).select("event_id", "attack_techniques")
+
+    placed = tagged()
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.replace("CartesianProduct", "").replace("BroadcastNestedLoopJoin", "")
+    found = {r["event_id"]: [tuple(t) for t in r["attack_techniques"]] for r in placed.collect()}
+    assert found["e0"] == [
+        ("T1003.001", "rule_tag", "T1001"), ("T1008", "rule_tag", "T1002"), ("T1009", "rule_tag", "T1002")
+    ]
+    assert found["e1"] == [("T1003.001", "rule_tag", None)]
+    monkeypatch.setattr(tagging, "CATALOG_ROWS", 0)
+    assert {r["event_id"]: [tuple(t) for t in r["attack_techniques"]] for r in tagged().collect()} == found
+
+
+def test_costly_rows_are_spread_over_many_tasks(spark):
+    from queries import inputs
+
+    one = spark.range(0, 100, 1, 1)
+    spread = inputs.spread(one)
+    assert spread.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r["id"] for r in spread.collect()) == list(range(100))
+
+
 def test_views_within_a_budget(case):
     shown = views.select_view(case.events, 1).collect()
     assert len(shown) == 1 and shown[0]["severity"] == "high"
