@@ -298,6 +298,48 @@ def test_rounds(spark, case):
     assert single.audit.filter("NOT dropped").count() == 0
 
 
+def test_accepted_claims_meet_their_event_once(spark, case):
+    one, two = (case.events.filter(F.col("action") == a).first() for a in ("process_create", "service_install"))
+
+    def draft(*citations):
+        return json.dumps([{"text": "t", "citations": c, "asserts": {"action": "process_create"}} for c in citations])
+
+    def resolved(*documents):
+        rows = [(f"c{i}", 0, d) for i, d in enumerate(documents)]
+        return rounds.resolve(spark.createDataFrame(rows, "case_id string, round int, document string"), case.events)
+
+    def joins(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    plain = resolved(draft([one["event_id"]], [two["event_id"]])).accepted
+    assert joins(plain) == 0
+    both = resolved(draft([one["event_id"]]), draft([two["event_id"], one["event_id"]])).accepted
+    # Of several citations, the backing one is known after all are gathered.
+    assert joins(both) == 1
+    rows = sorted((r["case_id"], r["backing_event_id"], r["verified"].action, r["verified"].datetime, r["statement"]) for r in both.collect())
+    statement = f"action process_create [event {one['event_id'][:12]}]"
+    assert rows == [(c, one["event_id"], "process_create", None, statement) for c in ("c0", "c1")]
+    assert [r[1:] for r in rows[:1]] == [(r["backing_event_id"], r["verified"].action, None, r["statement"]) for r in plain.collect()]
+
+
+def test_waiting_claims_are_told_by_case(spark):
+    claim = "case_id string, index int, revises string"
+    current = spark.createDataFrame([("a", 0, "c1"), ("a", 1, "c1"), ("a", 2, None), ("a", 3, "c9"), ("b", 0, "c1"), (None, 0, "c1")], claim)
+    pending = spark.createDataFrame([("a", "c0", 2), ("a", "c1", 3), ("d", "c0", 1)], "case_id string, claim_id string, _next_id bigint")
+    rows = rounds._with_targets(current, pending).orderBy("index").collect()
+    assert [(r["case_id"], r["index"], r["_target"], r["_next_id"]) for r in rows] == [("a", 0, "c1", 3), ("a", 1, None, 3), ("a", 2, None, 3), ("a", 3, None, 3)]
+
+
+def test_narrative_joins_its_events_once_without_details(spark, case):
+    one = case.events.filter("action = 'process_create'").first()["event_id"]
+    document = json.dumps([{"text": "t", "citations": [one], "asserts": {"action": "process_create"}}])
+    drafts = spark.createDataFrame([("a", 0, document), ("b", 0, document)], "case_id string, round int, document string")
+    story = report.narrative(case_from_events(case.events, "told", case.catalog, drafts=drafts))
+    assert {(r["case_id"], r["backing_event_id"], r["severity"]) for r in story.collect()} == {("a", one, "high"), ("b", one, "high")}
+    # One with the claims, one with the templates of sentences.
+    assert story._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 def test_tagging_is_idempotent_and_table_only_ignores_rule_tags(spark, case):
     once = tagging.tag_events(
         case.events, spark.createDataFrame([("T1070.001", "T1685.005")], "technique_id string, revoked_by string")
